@@ -37,18 +37,18 @@ def ordered_index(df: DataFrame, order: Sequence[Column | str], by: Sequence[str
     local = F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)
     placed = (rows.join(F.broadcast(offsets), "_pid")
               .withColumn("_at", F.col("_offset") + local).drop("_mid", "_pid", "_offset"))
-    group = list(by) or ["_all"]
+    group = list(by) or ["_everything"]
     if not by:
-        placed = placed.withColumn("_all", F.lit(0))
+        placed = placed.withColumn("_everything", F.lit(0))
         if size is None:
-            return placed.withColumnRenamed("_at", pos).drop("_all")
+            return placed.withColumnRenamed("_at", pos).drop("_everything")
     first = placed.groupBy(*group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
     first = first.select(*[F.col(c).alias(f"_g_{c}") for c in group], "_first", "_size")
     same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
     out = placed.join(first, on=same, how="inner").withColumn(pos, F.col("_at") - F.col("_first"))
     if size is not None:
         out = out.withColumn(size, F.col("_size"))
-    return out.drop("_at", "_first", "_size", "_all", *[f"_g_{c}" for c in group])
+    return out.drop("_at", "_first", "_size", "_everything", *[f"_g_{c}" for c in group])
 
 
 def with_halo(df: DataFrame, pos: str, size: int, before: int = 0, after: int = 0) -> DataFrame:

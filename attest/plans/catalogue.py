@@ -6,7 +6,7 @@ import importlib
 
 from attest.plans.registry import ORACLES, QUERIES
 
-MODULES = ["coverage", "measures"]
+MODULES = ["coverage", "measures", "series", "signals"]
 
 for _name in MODULES:
     importlib.import_module(f"attest.plans.{_name}")
