@@ -59,13 +59,13 @@ def bytes_unseen(ranges: DataFrame, ledger: DataFrame, page: int = PAGE) -> Data
     return covered_bytes(ranges, ledger, page=page).withColumn("unseen", length() - F.col("covered")).drop("covered")
 
 
-def bytes_read_before(ranges: DataFrame, ledger: DataFrame, moment: str, key: str = "req_id",
+def bytes_read_before(ranges: DataFrame, ledger: DataFrame, moment: str, key: str | Sequence[str] = "req_id",
                       page: int = MAP_PAGE) -> DataFrame:
     """Bytes of each range first read strictly before the range's own moment."""
     spans = ledger.select("url", "start_b", "end_b", micros("first_read_at").alias("_m"))
     seen = earliest_map(spans, ["url"], "_m", page=page)
     rows = ranges.withColumn("_before", micros(moment))
-    return covered_earlier(rows, seen, [key], ["url"], "_before", "read_before", page=page).drop("_before")
+    return covered_earlier(rows, seen, [key] if isinstance(key, str) else key, ["url"], "_before", "read_before", page=page).drop("_before")
 
 
 def require_seen(reads: DataFrame, ledger: DataFrame, page: int = PAGE) -> DataFrame:

@@ -13,7 +13,7 @@ FS = 50.0
 
 def text_windows(spark, sf):
     """Each document's code points as one channel and the reversed text as the other."""
-    docs = v.table(spark, sf, "documents").where("n_chars >= 100")
+    docs = v.table(spark, sf, "documents").where("text <> ''")
     codes = F.transform(F.split("text", ""), lambda c: F.ascii(c).cast("double"))
     return docs.select(F.col("source").alias("record"), F.col("doc_id").alias("segment"), codes.alias("ecg")) \
         .withColumn("resp", F.reverse("ecg"))
