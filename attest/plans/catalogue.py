@@ -6,7 +6,7 @@ import importlib
 
 from attest.plans.registry import ORACLES, QUERIES
 
-MODULES = ["coverage", "measures", "series", "signals", "audit", "retrieval"]
+MODULES = ["coverage", "measures", "series", "signals", "audit", "retrieval", "sources"]
 
 for _name in MODULES:
     importlib.import_module(f"attest.plans.{_name}")
