@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attest.functions.spread import spread
+
 PAGE = 1 << 18
 MAP_PAGE = 1 << 12
 MAP_BLOCK = 1 << 16
@@ -31,7 +33,7 @@ def covered_below(spans: DataFrame, points: DataFrame, by: Sequence[str], start:
     its length; equal positions are summed before the shuffle.
     """
     by = list(by)
-    edges = spans.select(*by, F.explode(F.array(
+    edges = spread(spans.select(*by, start, end), *by, start).select(*by, F.explode(F.array(
         F.struct(F.col(start).alias("at"), F.lit(1).alias("step")),
         F.struct((F.col(end) + 1).alias("at"), F.lit(-1).alias("step")))).alias("e")).select(*by, "e.at", "e.step")
     events = (edges.unionByName(points.select(*by, F.col(at).alias("at"), F.lit(0).alias("step")))
@@ -148,7 +150,7 @@ def earliest_map(spans: DataFrame, by: Sequence[str], moment: str, start: str =
     Columns out: ``by``, ``page``, ``runs array<struct<s,e,m>>`` (at most ``page`` entries).
     """
     by = list(by)
-    clipped = clip_to_pages(spans.select(*by, start, end, moment), start, end, block)
+    clipped = clip_to_pages(spread(spans.select(*by, start, end, moment), *by, start), start, end, block)
     level = F.floor(F.log2((F.col("_e") - F.col("_s") + 1).cast("double"))).cast("int")
     width = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
     pieces = (clipped.withColumn("level", level)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attest.functions.expressions import Arm, Settings, arm_lag
 from attest.functions.lagged import judge, pair_scores
+from attest.functions.spread import spread
 from attest.operators.measures import output_names
 from attest.operators.series import mismatched_pairs, next_subject_pairs
 
@@ -82,7 +83,7 @@ def surrogates(pairs: DataFrame, n_surrogates: int, seed: Column, max_lag: int,
                 yield pd.DataFrame({key: row[0], "k": np.arange(len(fwd), dtype=np.int32), "fwd": fwd[:, -1], "rev": rev[:, -1]})
 
     kind = dict(pairs.dtypes)[key]
-    return todo.mapInPandas(run, f"{key} {kind}, k int, fwd double, rev double")
+    return spread(todo, key, always=True).mapInPandas(run, f"{key} {kind}, k int, fwd double, rev double")
 
 
 def surrogate_p(scores: DataFrame, by: Sequence[str], k: str = "k", score: str = "score") -> DataFrame:
@@ -130,7 +131,7 @@ def coupling_tests(todo: DataFrame, n_surrogates: int, keys: Sequence[str]) -> D
             if out:
                 yield pd.DataFrame(out)
 
-    return rows.mapInPandas(run, f"{head}, arm string, max_lag int, {_TEST}")
+    return spread(rows, *keys, always=True).mapInPandas(run, f"{head}, arm string, max_lag int, {_TEST}")
 
 
 def _arms_column(arms: Sequence[Arm], freq: Column, fs: float) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attest.functions.ordering import ordered_index
+from attest.functions.spread import spread
 from attest.operators.lineage import canonical
 from attest.session import cut_lineage
 
@@ -40,7 +41,7 @@ def _terms(terms: Sequence[str]) -> Column:
 
 def term_counts(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: number of tokens and how often each term occurs; one pass over the text."""
-    rows = docs.select(key, tokens(F.col(text)).alias("_t"))
+    rows = spread(docs.select(key, text), key).select(key, tokens(F.col(text)).alias("_t"))
     hits = rows.select(key, F.size("_t").alias("n_tokens"),
                        F.filter("_t", lambda t: F.array_contains(_terms(terms), t)).alias("_h"))
     return hits.select(key, "n_tokens", F.transform(_terms(terms), lambda q: F.size(F.filter("_h", lambda t: t == q))).alias("tf"))
@@ -92,7 +93,7 @@ def hashed_cosine_scores(docs: DataFrame, terms: Sequence[str], dims: int = 256,
     weights = [float(slots.count(i)) for i in range(dims)]
     size = sum(w * w for w in weights) ** 0.5
     q = F.array(*[F.lit(w) for w in weights])
-    rows = docs.select(key, F.array_sort(F.transform(tokens(F.col(text)), bucket)).alias("_b"))
+    rows = spread(docs.select(key, text), key).select(key, F.array_sort(F.transform(tokens(F.col(text)), bucket)).alias("_b"))
     start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sq"), F.lit(0.0).alias("dot"))
     def step(acc: Column, x: Column) -> Column:
         same = acc["last"] == x
@@ -136,7 +137,7 @@ def extract_sentences(docs: DataFrame, terms: Sequence[str], key: str = "doc_id"
 
     One running state walks the sentences of a text, so no sentence list is copied or shuffled.
     """
-    rows = docs.select(key, F.col(text).alias("_text"), F.regexp_extract_all(text, F.lit(f"({SENTENCE})"), 1).alias("_sents"))
+    rows = spread(docs.select(key, text), key).select(key, F.col(text).alias("_text"), F.regexp_extract_all(text, F.lit(f"({SENTENCE})"), 1).alias("_sents"))
     zero = F.lit(0)
     start = F.struct(zero.alias("at"), zero.alias("best"), zero.alias("s"), zero.alias("e"))
     def step(acc: Column, sentence: Column) -> Column:

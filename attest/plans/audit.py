@@ -626,9 +626,9 @@ def row_fingerprint(spark, sf):
 def _tree_sql(hashes: str) -> str:
     """The prefix tree over ``hashes(hash)`` in SQL."""
     steps = [f"t0 AS (SELECT hash AS k, concat(hash, ':', count(*)) AS val FROM ({hashes}) q GROUP BY hash)"]
-    for i, size in enumerate((8, 6, 4, 2, 0)):
+    for i, size in enumerate((6, 3, 0)):
         steps.append(f"t{i + 1} AS (SELECT substr(k, 1, {size}) AS k, sha256(string_agg(val, chr(10) ORDER BY k)) AS val FROM t{i} GROUP BY 1)")
-    return ", ".join(s.replace("ORDER BY k)", f"ORDER BY t{i - 1}.k)") if i else s for i, s in enumerate(steps)) + " SELECT val AS digest FROM t5"
+    return ", ".join(s.replace("ORDER BY k)", f"ORDER BY t{i - 1}.k)") if i else s for i, s in enumerate(steps)) + " SELECT val AS digest FROM t3"
 
 
 @query("table_fingerprint", "WITH " + _tree_sql(

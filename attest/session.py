@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",  # one task is one thread
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -74,5 +75,6 @@ def ship_package(spark: SparkSession) -> None:
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on, for a session somebody else built."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
     ship_package(spark)
     return spark
