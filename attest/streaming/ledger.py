@@ -27,7 +27,7 @@ def first_reads(reads: DataFrame, base: DataFrame, path: str, checkpoint: str, a
     The ledger table is the state, so nothing grows in memory and a hot object
     is spread over its pages. A replayed batch overwrites its own folder and
     never sees its own rows, so results are exactly once. ``base`` and the
-    stream share the columns url, start_b, end_b, sha256, seq.
+    stream share the ledger columns and ``seq``.
     """
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
