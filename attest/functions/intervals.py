@@ -22,52 +22,89 @@ MAP_BLOCK = 1 << 16
 
 
 def page_of(pos: Column, page: int) -> Column:
-    return F.floor(pos / F.lit(page)).cast("long")
+    return F.call_function("div", pos, F.lit(page).cast("long"))
 
 
-def covered_below(spans: DataFrame, points: DataFrame, by: Sequence[str], start: str = "start_b", end: str = "end_b",
-                  at: str = "at", page: int = PAGE) -> DataFrame:
-    """For every distinct point, how many positions below it the union of ``spans`` covers.
+def _present(events: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Drop null keys up front, so every use of the events has the same plan and shares one shuffle."""
+    for column in (*by, "page", "at"):
+        events = events.where(F.col(column).isNotNull())
+    return events
 
-    Columns out: ``by``, ``at``, ``below``. Each span adds two events, whatever
-    its length; equal positions are summed before the shuffle.
+
+def sweep(spans: DataFrame, points: DataFrame, by: Sequence[str], start: str = "start_b", end: str = "end_b",
+          at: str = "at", page: int = PAGE) -> DataFrame:
+    """What lies below every distinct position, for the starts and ends of ``spans`` and for ``points``.
+
+    Columns out: ``by``, ``at``; ``below``, positions the union covers below
+    it; ``mass``, the same with overlaps counted as often as they occur;
+    ``opened``, spans that start below it; ``closed``, spans that end below
+    it. Each span adds two events, whatever its length; equal positions are
+    summed before the shuffle. Prefix sums run within pages and over pages.
     """
     by = list(by)
     edges = spread(spans.select(*by, start, end), *by, start).select(*by, F.explode(F.array(
-        F.struct(F.col(start).alias("at"), F.lit(1).alias("step")),
-        F.struct((F.col(end) + 1).alias("at"), F.lit(-1).alias("step")))).alias("e")).select(*by, "e.at", "e.step")
-    events = (edges.unionByName(points.select(*by, F.col(at).alias("at"), F.lit(0).alias("step")))
-              .groupBy(*by, page_of(F.col("at"), page).alias("page"), "at").agg(F.sum("step").alias("step")))
+        F.struct(F.col(start).alias("at"), F.lit(1).alias("o"), F.lit(0).alias("c")),
+        F.struct((F.col(end) + 1).alias("at"), F.lit(0).alias("o"), F.lit(1).alias("c")))).alias("e")).select(*by, "e.*")
+    nothing = F.lit(0)
+    marked = edges.unionByName(points.select(*by, F.col(at).alias("at"), nothing.alias("o"), nothing.alias("c")))
+    events = (_present(marked.withColumn("page", page_of(F.col("at"), page)), by)
+              .groupBy(*by, "page", "at").agg(F.sum("o").alias("o"), F.sum("c").alias("c")))
     in_page = Window.partitionBy(*by, "page").orderBy("at")
     over_pages = Window.partitionBy(*by).orderBy("page")
     earlier = over_pages.rowsBetween(Window.unboundedPreceding, -1)
+    upto, before = in_page.rowsBetween(Window.unboundedPreceding, 0), in_page.rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(column: str):
+        return F.coalesce(F.sum(column).over(earlier), F.lit(0))
 
-    pages = (events.groupBy(*by, "page").agg(F.sum("step").alias("net"), F.min("at").alias("first"))
-             .select(*by, "page", F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("base"),
+    pages = (events.groupBy(*by, "page").agg(F.sum("o").alias("po"), F.sum("c").alias("pc"), F.min("at").alias("first"))
+             .select(*by, "page", carried("po").alias("base_o"), carried("pc").alias("base_c"),
                      F.lead("first").over(over_pages).alias("next_first")))
-    active = F.col("base") + F.sum("step").over(in_page.rowsBetween(Window.unboundedPreceding, 0))
     following = F.coalesce(F.lead("at").over(in_page), F.col("next_first"), F.col("at"))
     pieces = (events.join(pages, [*by, "page"])
-              .withColumn("piece", F.when(active > 0, following - F.col("at")).otherwise(F.lit(0)))
-              .select(*by, "page", "at", "piece"))
-    totals = (pieces.groupBy(*by, "page").agg(F.sum("piece").alias("total"))
-              .select(*by, "page", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before")))
-    running = F.coalesce(F.sum("piece").over(in_page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return pieces.join(totals, [*by, "page"]).select(*by, "at", (F.col("before") + running).alias("below"))
+              .withColumns({"opened_here": F.col("base_o") + F.sum("o").over(upto), "closed": F.col("base_c") + F.sum("c").over(upto),
+                            "width": following - F.col("at")})
+              .withColumn("active", F.col("opened_here") - F.col("closed"))
+              .select(*by, "page", "at", "closed", (F.col("opened_here") - F.col("o")).alias("opened"),
+                      F.when(F.col("active") > 0, F.col("width")).otherwise(F.lit(0)).alias("piece"),
+                      (F.col("active") * F.col("width")).alias("weight")))
+    totals = (pieces.groupBy(*by, "page").agg(F.sum("piece").alias("pp"), F.sum("weight").alias("pw"))
+              .select(*by, "page", carried("pp").alias("base_p"), carried("pw").alias("base_w")))
+
+    def running(column: str):
+        return F.coalesce(F.sum(column).over(before), F.lit(0))
+
+    return pieces.join(totals, [*by, "page"]).select(
+        *by, "at", (F.col("base_p") + running("piece")).alias("below"), (F.col("base_w") + running("weight")).alias("mass"),
+        "opened", "closed")
+
+
+def _at_both_ends(wanted: DataFrame, spans: DataFrame, by: Sequence[str], values: Sequence[str], start: str, end: str,
+                  page: int) -> DataFrame:
+    """Wanted ranges with the sweep's values at their first position (``_lo_*``) and behind their last (``_hi_*``)."""
+    by = list(by)
+    points = wanted.select(*by, F.explode(F.array(F.col(start), F.col(end) + 1)).alias("at"))
+    swept = sweep(spans, points, by, start, end, "at", page).select(*by, "at", *values)
+    rows = wanted.withColumn("_lo", F.col(start)).withColumn("_hi", F.col(end) + 1)
+    for side in ("_lo", "_hi"):
+        rows = rows.join(swept.select(*by, F.col("at").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in values]), [*by, side])
+    return rows
 
 
 def union_cover(wanted: DataFrame, spans: DataFrame, by: Sequence[str], name: str = "covered",
                 start: str = "start_b", end: str = "end_b", page: int = PAGE) -> DataFrame:
     """Add to each wanted range the positions that the union of ``spans`` covers."""
-    by = list(by)
-    points = wanted.select(*by, F.explode(F.array(F.col(start), F.col(end) + 1)).alias("at"))
-    below = covered_below(spans, points, by, start, end, "at", page)
-    low = below.select(*by, F.col("at").alias("_lo"), F.col("below").alias("_below_lo"))
-    high = below.select(*by, F.col("at").alias("_hi"), F.col("below").alias("_below_hi"))
-    return (wanted.withColumn("_lo", F.col(start)).withColumn("_hi", F.col(end) + 1)
-            .join(low, [*by, "_lo"]).join(high, [*by, "_hi"])
-            .withColumn(name, F.col("_below_hi") - F.col("_below_lo"))
-            .drop("_lo", "_hi", "_below_lo", "_below_hi").select(*wanted.columns, name))
+    rows = _at_both_ends(wanted, spans, by, ["below"], start, end, page)
+    return rows.select(*wanted.columns, (F.col("_hi_below") - F.col("_lo_below")).alias(name))
+
+
+def overlap_totals(wanted: DataFrame, spans: DataFrame, by: Sequence[str], start: str = "start_b", end: str = "end_b",
+                   page: int = PAGE) -> DataFrame:
+    """Add how many spans overlap each wanted range and the positions they share, every span counted; no pairs are formed."""
+    rows = _at_both_ends(wanted, spans, by, ["mass", "opened", "closed"], start, end, page)
+    return rows.select(*wanted.columns, (F.col("_hi_opened") - F.col("_lo_closed")).alias("overlapping"),
+                       (F.col("_hi_mass") - F.col("_lo_mass")).alias("shared"))
 
 
 def islands(spans: DataFrame, by: Sequence[str], start: str = "start_b", end: str = "end_b",
@@ -80,7 +117,7 @@ def islands(spans: DataFrame, by: Sequence[str], start: str = "start_b", end: st
     edges = spans.select(*by, F.explode(F.array(
         F.struct(F.col(start).alias("at"), F.lit(1).alias("opened"), F.lit(0).alias("closed")),
         F.struct((F.col(end) + 1).alias("at"), F.lit(0).alias("opened"), F.lit(1).alias("closed")))).alias("e"))
-    events = (edges.select(*by, "e.*").groupBy(*by, page_of(F.col("at"), page).alias("page"), "at")
+    events = (_present(edges.select(*by, "e.*").withColumn("page", page_of(F.col("at"), page)), by).groupBy(*by, "page", "at")
               .agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed")))
     net = F.col("opened") - F.col("closed")
     in_page = Window.partitionBy(*by, "page").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -198,5 +235,5 @@ def micros(column: Column | str) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-__all__ = ["PAGE", "MAP_PAGE", "MAP_BLOCK", "covered_below", "union_cover", "islands", "clip_to_pages", "earliest_map",
+__all__ = ["PAGE", "MAP_PAGE", "MAP_BLOCK", "sweep", "union_cover", "overlap_totals", "islands", "clip_to_pages", "earliest_map",
            "covered_earlier", "micros", "page_of"]

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attest.functions.intervals import (MAP_PAGE, PAGE, clip_to_pages, covered_earlier, earliest_map, islands, micros,
-                                        union_cover)
+from attest.functions.intervals import (MAP_PAGE, PAGE, covered_earlier, earliest_map, islands, micros, overlap_totals,
+                                        page_of, union_cover)
 from attest.session import cut_lineage
 
 RANGE = ("url", "start_b", "end_b")
@@ -34,19 +34,13 @@ def exact_entry(ranges: DataFrame, ledger: DataFrame) -> DataFrame:
     return ranges.join(distinct_entries(ledger), list(RANGE), "left")
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, page: int = MAP_PAGE) -> DataFrame:
-    """Pairs of overlapping ranges of two inputs with the bytes they share.
+def overlap_bytes(ranges: DataFrame, others: DataFrame, by: Sequence[str] = ("url",), page: int = PAGE) -> DataFrame:
+    """Per range: how many of ``others`` overlap it and the bytes they share with it, each counted.
 
-    Both sides are cut at page borders and joined on (url, page); a pair that
-    meets on several pages is summed, so no range predicate scans an object.
+    The sum over all overlapping partners comes from prefix sums, so a range
+    that a third of all entries overlap costs no more than any other.
     """
-    left = clip_to_pages(a.select(F.col(a_id).alias("_a"), *RANGE), "start_b", "end_b", page)
-    right = clip_to_pages(b.select(F.col(b_id).alias("_b"), *RANGE), "start_b", "end_b", page)
-    left = left.select("url", "page", "_a", F.col("_s").alias("_as"), F.col("_e").alias("_ae"))
-    right = right.select("url", "page", "_b", F.col("_s").alias("_bs"), F.col("_e").alias("_be"))
-    met = left.join(right, ["url", "page"]).where((F.col("_as") <= F.col("_be")) & (F.col("_bs") <= F.col("_ae")))
-    shared = F.least("_ae", "_be") - F.greatest("_as", "_bs") + 1
-    return met.groupBy(F.col("_a").alias(a_id), F.col("_b").alias(b_id)).agg(F.sum(shared).alias("shared_bytes"))
+    return overlap_totals(ranges, others.select(*by, "start_b", "end_b"), by, page=page)
 
 
 def covered_bytes(ranges: DataFrame, others: DataFrame, by: Sequence[str] = ("url",), page: int = PAGE) -> DataFrame:
@@ -211,7 +205,7 @@ def holdout_families(reserved: DataFrame, page: int = PAGE) -> DataFrame:
 def last_known(df: DataFrame, by: Sequence[str], at: str, value: str, page: int) -> DataFrame:
     """Fill ``value`` with the last non-null one at or before ``at`` (as-of), two levels deep to bound the windows."""
     by = list(by)
-    rows = df.withColumn("_page", F.floor(F.col(at) / F.lit(page)).cast("long"))
+    rows = df.withColumn("_page", page_of(F.col(at), page))
     whole = Window.partitionBy(*by).orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
     pages = (rows.groupBy(*by, "_page").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(at))).alias("_v"))
              .select(*by, "_page", F.last("_v", ignorenulls=True).over(whole).alias("_carry")))

@@ -43,21 +43,13 @@ def exact_entry(spark, sf):
                                                  "first_read_at", "first_read_by")
 
 
-@query("overlap_pairs", v.sql("v_ledger v_wanted", """
-SELECT w.req_id, w.exp_id, CAST(count(*) AS BIGINT) AS entries,
-       CAST(sum(least(l.end_b, w.end_b) - greatest(l.start_b, w.start_b) + 1) AS BIGINT) AS shared_bytes
-FROM v_wanted w JOIN v_ledger l ON l.url = w.url AND l.start_b <= w.end_b AND l.end_b >= w.start_b
+@query("overlap_bytes", v.sql("v_ledger v_wanted", """
+SELECT w.req_id, w.exp_id, CAST(count(l.url) AS BIGINT) AS overlapping,
+       CAST(coalesce(sum(CASE WHEN l.url IS NOT NULL THEN least(l.end_b, w.end_b) - greatest(l.start_b, w.start_b) + 1 END), 0) AS BIGINT) AS shared
+FROM v_wanted w LEFT JOIN v_ledger l ON l.url = w.url AND l.start_b <= w.end_b AND l.end_b >= w.start_b
 GROUP BY w.req_id, w.exp_id"""))
-def overlap_pairs(spark, sf):
-    ledger = v.ledger(spark, sf).withColumn("entry", F.concat_ws("/", "order_no", "line_no", "url"))
-    ledger = ledger.withColumn("entry", F.struct("entry", "start_b", "end_b", "first_read_at", "first_read_by"))
-    ledger = ledger.groupBy("entry", "url", "start_b", "end_b").agg(F.count(F.lit(1)).alias("times"))
-    ledger = ledger.withColumn("entry", F.struct("entry", "times"))
-    wanted = v.wanted(spark, sf)
-    pairs = cov.overlap_pairs(wanted, ledger, "req_id", "entry")
-    sums = pairs.groupBy("req_id").agg(F.sum("entry.times").alias("entries"),
-                                       F.sum(F.col("shared_bytes") * F.col("entry.times")).alias("shared_bytes"))
-    return sums.join(wanted.select("req_id", "exp_id"), "req_id").select("req_id", "exp_id", "entries", "shared_bytes")
+def overlap_bytes(spark, sf):
+    return cov.overlap_bytes(v.wanted(spark, sf), v.ledger(spark, sf)).select("req_id", "exp_id", "overlapping", "shared")
 
 
 @query("coverage_union", v.sql("v_ledger v_wanted", f"""WITH {_COVER_SQL.format(extra='')}

@@ -12,6 +12,7 @@ from attest.operators import measures as m
 from attest.operators import rows as rw
 from attest.operators import series as se
 from attest.operators.signals import dominant_hz
+from attest.operators.specs import spec_problems
 from attest.plans import views as v
 from attest.plans.registry import query
 
@@ -378,3 +379,19 @@ def study_series(spark, sf):
 def study_contract(spark, sf):
     emitted = m.measure_arms(v.study_tests(spark, sf), Settings(v.ALPHA, v.FS, [Arm("short", 3.0), Arm("long", 6.0)], VECTOR_STUDY.strata))
     return cp.contract_problems(emitted, m.output_names(VECTOR_STUDY))
+
+
+_SPEC_HEAD = """{"question": "q", "data": {"source": "s", "records": ["r1", "r2"], "start_s": 0, "duration_s": 60, "grid_hz": 4.0, "highpass_hz": """
+_SPEC_MID = """, "qc": {"min_valid_rr_fraction": 0.8}}, "analysis": {"method": "m", "surrogate_method": "s", "correction": "c", "n_surrogates": """
+_SPEC_TAIL = """, "controls": {"synthetic_trials": 2, "positive_coupling": 0.5, "positive_lag_samples": 2, "ar_coefficient": 0.6}, "max_lag_s": 3.0, "peak_agreement_hz": 0.02}"""
+_SPEC_TEXT = (f"""concat('{_SPEC_HEAD}', CASE WHEN o_orderkey % 5 = 0 THEN '2.5' ELSE '0.05' END, '{_SPEC_MID}', CAST(o_custkey % 4 AS {{s}}), ', "alpha": ', """
+              f"""CASE WHEN o_orderkey % 7 = 0 THEN '"high"' ELSE '0.05' END, ', "seed": ', CAST(o_orderkey - 100 AS {{s}}), '{_SPEC_TAIL}', CASE WHEN o_orderkey % 11 = 0 THEN ', "extra": 1' ELSE '' END, '}}')""")
+
+
+@query("spec_problems", """WITH p AS (SELECT o_orderkey, unnest([CASE WHEN o_orderkey % 5 = 0 THEN 'data.highpass_hz: above 0 and below half of grid_hz' END,
+  CASE WHEN o_custkey % 4 = 0 THEN 'analysis.n_surrogates: an integer of at least 1' END, CASE WHEN o_orderkey % 7 = 0 THEN 'analysis.alpha: between 0 and 1' END,
+  CASE WHEN o_orderkey < 100 THEN 'analysis.seed: an integer from 0 to 4291967295' END, CASE WHEN o_orderkey % 11 = 0 THEN '''extra'': not a section' END]) AS problem FROM orders)
+SELECT o_orderkey, problem FROM p WHERE problem IS NOT NULL""")
+def spec_problems_query(spark, sf):
+    specs = v.table(spark, sf, "orders").select("o_orderkey", F.expr(_SPEC_TEXT.replace("{s}", "STRING")).alias("text"))
+    return spec_problems(specs, ["o_orderkey"], purpose="explore")
