@@ -14,6 +14,7 @@ from attest.operators import rows as rw
 from attest.plans import coverage as pc
 from attest.plans import views as v
 from attest.plans.registry import query
+from attest.session import cut_lineage
 
 
 def _spark(text: str) -> str:
@@ -706,7 +707,7 @@ def merge_nodes(spark, sf):
     """SELECT sha256(concat('n:{"id":"', id, '"}')) AS hash FROM nd UNION ALL
     SELECT sha256(concat('e:{"dst":"', dst, '","relation":"', relation, '","src":"', src, '"}')) FROM ed""")))
 def graph_digest(spark, sf):
-    edges = ln.evidence_graph(_corpus(spark, sf))[1]
+    edges = cut_lineage(ln.evidence_graph(_corpus(spark, sf))[1])  # read twice below
     return ln.graph_digest(edges.select(F.col("src").alias("id")).distinct(), edges)
 
 
