@@ -92,8 +92,9 @@ def main() -> int:
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     from attest.session import build_session
-    from attest.plans.catalogue import ORACLES, QUERIES
+    from __spark_entry__ import oracle_sql, queries
 
+    QUERIES, ORACLES = queries(), oracle_sql()
     spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{args.sf}"
