@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attest.llm import neardup
+from attest.llm import neardup, packing, sharding, topk
 from attest.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +31,7 @@ WITH RECURSIVE word_lists AS MATERIALIZED (
          'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS s
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
   FROM word_lists),
 classes AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY min(doc_id)) AS c, min(doc_id) AS rep, list_sort(s) AS s FROM sets
@@ -61,3 +61,31 @@ FROM sets LEFT JOIN classes ON classes.s = list_sort(sets.s) AND len(sets.s) > 0
 @query("op2_near_duplicates", _NEAR_SQL)
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_best_fit")
+def best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+_TOP_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT
+           isfinite(CAST(x AS DOUBLE)))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+           FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op8_top_k", _TOP_SQL)
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_byte_shards")
+def byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.byte_shards(table(spark, sf_dir, "documents"))
