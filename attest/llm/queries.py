@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attest.llm import neardup, packing, sharding, topk
+from attest.llm import neardup, packing, quality, sharding, topk, toxicity, urls
 from attest.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +90,31 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_byte_shards")
 def byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose checksum of the id is divisible by 5 are held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out)
+    return toxicity.score(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted", "guessed_lang")
+
+
+#: The filter's rules, longest match first.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+             ("block", "net/fr/")]
+
+
+@query("op5_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URLs that a rule covers are the labelled ones; the trees trained on them judge the rest."""
+    pages = table(spark, sf_dir, "pages")
+    ruled = urls.rule_for(URL_RULES, urls.host_of(F.col("url")), urls.path_of(F.col("url")))["verdict"]
+    return urls.judge(pages, URL_RULES, urls.fit(pages, (ruled == "block").cast("int")))
+
+
+@query("op6_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
