@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import neardup, packing, quality, sharding, topk, toxicity, urls
+from attest.llm import (
+    licenses,
+    neardup,
+    packing,
+    pieces,
+    quality,
+    sharding,
+    tokencount,
+    topk,
+    toxicity,
+    urls,
+)
 from attest.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
+#: Where the public vocabulary files are; a parameter of the operators.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
@@ -118,3 +133,19 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_licenses")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
+@query("op7_round_trip")
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", seed=1)
+
+
+@query("op10_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"),
+                                   *tokencount.vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model"))
