@@ -131,23 +131,25 @@ def _large_members(members: DataFrame, sets: DataFrame) -> DataFrame:
     return many.join(held, "set_id").where(4 * F.col("held") >= 3 * F.col("n")).select("key", "set_id", "n", "held")
 
 
-def _left_over(stars: DataFrame, compared: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs of large buckets in different components that the bound does not rule out."""
-    of_centre = compared.select(F.col("a").alias("centre"), F.col("b").alias("set_id"), "common")
-    rows = (stars.join(of_centre, ["centre", "set_id"])
-            .join(component.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
-            .join(component.select(F.col("node").alias("centre"), F.col("component").alias("_main")), "centre", "left")
-            .select("key", "set_id", "n", "common", (F.col("held") - F.col("common")).alias("other"),
-                    F.coalesce("component", "set_id").alias("component"), F.coalesce("_main", "centre").alias("main")))
-    least = rows.groupBy("key").agg(F.min("n").alias("_least"))
-    rows = (rows.join(least, "key")
+def _left_over(compared: DataFrame, held: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs that share a centre, stand in different components, and are not ruled out by the bound.
+
+    Members of a bucket share its centre, so these are all pairs of large buckets that may still be linked.
+    """
+    of, of_centre = (component.select(F.col("node").alias(x), F.col("component").alias(f"_of_{x}")) for x in ("b", "a"))
+    rows = (compared.join(held, compared["b"] == held["set_id"]).join(of, "b", "left").join(of_centre, "a", "left")
+            .select(F.col("a").alias("centre"), "set_id", F.col("n_b").alias("n"), "common",
+                    (F.col("held") - F.col("common")).alias("other"), F.coalesce("_of_b", "b").alias("component"),
+                    F.coalesce("_of_a", "a").alias("main")))
+    least = rows.groupBy("centre").agg(F.min("n").alias("_least"))
+    rows = (rows.join(least, "centre")
             .where(7 * (F.col("common") + F.col("other")) >= 3 * (F.col("n") + F.col("_least"))))
-    a, b = (rows.select("key", F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("common").alias(f"i_{x}"),
+    a, b = (rows.select("centre", F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("common").alias(f"i_{x}"),
                         F.col("other").alias(f"o_{x}"), F.col("component").alias(f"c_{x}"), F.col("main").alias(f"m_{x}"))
             for x in "ab")
     most = F.least("i_a", "i_b") + F.least("o_a", "o_b")
-    pairs = a.where("c_a <> m_a").join(
-        b, (a["key"] == b["key"]) & (F.col("c_a") != F.col("c_b")) & (7 * most >= 3 * (F.col("n_a") + F.col("n_b"))))
+    pairs = a.where("c_a <> m_a").join(b, (a["centre"] == b["centre"]) & (F.col("c_a") != F.col("c_b"))
+                                       & (7 * most >= 3 * (F.col("n_a") + F.col("n_b"))))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -165,13 +167,14 @@ def _components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     large = written(_large_members(members, sets), "large")
     centres = large.groupBy("key").agg(
         F.min_by("set_id", F.struct(F.col("n") - F.col("held"), F.col("set_id"))).alias("centre"))
-    stars = large.join(centres, "key").where("set_id <> centre")
-    edges = stars.select(F.col("centre").alias("a"), F.col("set_id").alias("b")).distinct()
+    edges = (large.join(centres, "key").where("set_id <> centre")
+             .select(F.col("centre").alias("a"), F.col("set_id").alias("b")).distinct())
     compared = written(_compare(edges, sets), "stars")
     links = written(_compare(_small_pairs(members), sets).where(_linked("common", "n_a", "n_b")).select("a", "b")
                     .unionByName(compared.where(_linked("common", "n_a", "n_b")).select("a", "b")), "links")
     component = connected_components(links)
-    rest = written(_compare(_left_over(stars, compared, component), sets).where(_linked("common", "n_a", "n_b"))
+    held = large.select("set_id", "held").distinct()
+    rest = written(_compare(_left_over(compared, held, component), sets).where(_linked("common", "n_a", "n_b"))
                    .select("a", "b"), "rest")
     if not rest.isEmpty():
         component = connected_components(links.unionByName(rest))
