@@ -79,23 +79,27 @@ class Trees:
     """Boosted trees over lexical features and suffix statistics; ``prior`` alone without training rows."""
 
     prior: float = -1.0
-    rates: dict[str, tuple[float, int]] = field(default_factory=dict)
+    rates: dict[str, tuple[int, int]] = field(default_factory=dict)
     base: float = 0.0
     trees: list[list[tuple[int, float, float]]] = field(default_factory=list)  # heap order: (feature or -1, cut, value)
 
-    def features(self, rows: list[tuple[str | None, str, str]], labels: list[int] | None = None) -> np.ndarray:
-        """``labels`` leave each training row out of its own suffix statistics."""
+    def features(self, rows: list[tuple[str | None, str, str]]) -> np.ndarray:
         out = np.empty((len(rows), 17))
         for i, row in enumerate(rows):
             values = lexical(*row)
             for key in suffixes(*row[1:]):
                 hits, n = self.rates.get(key, (0, 0))
-                if labels is not None:
-                    hits, n = hits - labels[i], n - 1
                 values.append((hits + SMOOTH * self.base) / (n + SMOOTH))
             out[i] = values
         return out
 
+    def count(self, rows: list[tuple[str | None, str, str]], blocked: list[int]) -> None:
+        """Keep the suffix statistics of labelled rows."""
+        for row, label in zip(rows, blocked):
+            for key in suffixes(*row[1:]):
+                hits, n = self.rates.get(key, (0, 0))
+                self.rates[key] = (hits + label, n + 1)
+
     def margin(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.prior)
         for tree in self.trees:
@@ -152,14 +156,13 @@ def train(rows: list[tuple[str | None, str, str]], blocked: list[int]) -> Trees:
         model.prior = 8.0 if model.base else -8.0
         return model
     model.prior = math.log(model.base / (1 - model.base))
-    counts: dict[str, list[int]] = {}
-    for row, label in zip(rows, blocked):
-        for key in suffixes(*row[1:]):
-            held = counts.setdefault(key, [0, 0])
-            held[0] += label
-            held[1] += 1
-    model.rates = {key: (hits, n) for key, (hits, n) in counts.items()}
-    x = model.features(rows, blocked)
+    # Each half of the rows sees the other half's statistics, so that no row's features hold its own label.
+    x = np.empty((len(rows), 17))
+    for half in (0, 1):
+        other = Trees(base=model.base)
+        other.count(rows[1 - half::2], blocked[1 - half::2])
+        x[half::2] = other.features(rows[half::2])
+    model.count(rows, blocked)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, CUTS + 1)[1:-1], method="lower")) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
     margin = np.full(len(x), model.prior)
