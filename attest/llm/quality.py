@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import let, words_of
+from attest.llm.common import let, words_of, written
 
 #: Labelled rows that the rules are learned from.
 SAMPLE = 4000
@@ -108,12 +108,15 @@ def _covers(rule: Rule, row: tuple) -> bool:
     return all(c.holds(row) for c in rule)
 
 
-def _thresholds(values: list[float]) -> list[float]:
-    """Up to 24 cuts, halfway between neighbouring distinct values at equal steps of rank."""
-    distinct = sorted(set(values))
-    middles = [(a + b) / 2 for a, b in zip(distinct, distinct[1:])]
-    step = max(1, math.ceil(len(middles) / 24))
-    return sorted({*middles[::step], *middles[-1:]})
+def _thresholds(bad: list[float], good: list[float]) -> list[float]:
+    """Cuts between neighbouring values of different classes, where the best ones are; 24 of them, at equal steps."""
+    kinds: dict[float, int] = {}
+    for kind, values in ((1, bad), (2, good)):
+        for value in values:
+            kinds[value] = kinds.get(value, 0) | kind
+    distinct = sorted(kinds)
+    cuts = [(a + b) / 2 for a, b in zip(distinct, distinct[1:]) if kinds[a] != kinds[b] or kinds[a] == 3]
+    return sorted({*cuts[::max(1, math.ceil(len(cuts) / 24))], *cuts[-1:]})
 
 
 def _grow(bad: list[tuple], good: list[tuple]) -> Rule:
@@ -122,7 +125,7 @@ def _grow(bad: list[tuple], good: list[tuple]) -> Rule:
         before = math.log2(len(bad) / (len(bad) + len(good)))
         best, found = 1e-9, None
         for feature in range(len(FEATURES)):
-            for threshold in _thresholds([row[feature] for row in bad + good]):
+            for threshold in _thresholds([row[feature] for row in bad], [row[feature] for row in good]):
                 for above in (True, False):
                     condition = Condition(feature, above, threshold)
                     p = sum(map(condition.holds, bad))
@@ -170,8 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = (labels.groupBy(F.col(id_col).alias("_id")).agg(F.min(quality_col).alias("_quality"))
               .orderBy(F.xxhash64("_id"), "_id").limit(sample))
     # At most ``sample`` ids: the bound of this broadcast.
-    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(
-        F.broadcast(picked), F.col("_doc") == F.col("_id"))
+    rows = written(docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(
+        F.broadcast(picked), F.col("_doc") == F.col("_id")), "sample")  # else the filter below moves before the join
     judged = with_statistics(rows, "_text").where(~F.col("_stats.base_failed"))
     kept = judged.select(*[F.col(f"_stats.{f}") for f in FEATURES], "_quality", "_id").collect()
     ordered = sorted(kept, key=lambda r: (hash_order(r["_id"]), r["_id"]))
