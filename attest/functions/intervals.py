@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attest.functions.ordering import ordered_index
 from attest.functions.spread import spread
 
 PAGE = 1 << 18
@@ -208,22 +209,55 @@ def earliest_map(spans: DataFrame, by: Sequence[str], moment: str, start: str =
     return mapped.select(*by, "page", F.arrays_zip("s", "e", "m").alias("runs"))
 
 
-def covered_earlier(wanted: DataFrame, first_seen: DataFrame, key: Sequence[str], by: Sequence[str], moment: str,
-                    name: str = "covered", start: str = "start_b", end: str = "end_b", page: int = MAP_PAGE) -> DataFrame:
-    """Positions of each wanted range whose earliest moment is strictly before the row's own ``moment``.
+def border_ranks(ranges: Sequence[DataFrame], by: Sequence[str], start: str = "start_b", end: str = "end_b") -> DataFrame:
+    """Every position where one of the ranges begins or has just ended, numbered from 0 within ``by`` (``at, rank``)."""
+    edges = None
+    for df in ranges:
+        own = df.select(*by, F.explode(F.array(F.col(start), F.col(end) + 1)).alias("at"))
+        edges = own if edges is None else edges.unionByName(own)
+    return ordered_index(_present(edges.withColumn("page", F.lit(0)), by).select(*by, "at").distinct(), ["at"], by, "rank")
 
-    ``first_seen`` comes from ``earliest_map`` with the same ``page``; each
-    (range, page) meets one map row, so no pairs are emitted. ``key`` must
-    identify a wanted row.
+
+def _ranked(df: DataFrame, borders: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
+    """``df`` with the first and last elementary stretch of each range: ``_first``, ``_last``."""
+    rows = df.withColumn("_stop", F.col(end) + 1)
+    for at, name in ((start, "_first"), ("_stop", "_behind")):
+        rows = rows.join(borders.select(*by, F.col("at").alias(at), F.col("rank").alias(name)), [*by, at])
+    return rows.withColumn("_last", F.col("_behind") - 1).drop("_stop", "_behind")
+
+
+def covered_before(wanted: DataFrame, spans: DataFrame, key: Sequence[str], by: Sequence[str], moment: str, span_moment: str,
+                   name: str = "covered", start: str = "start_b", end: str = "end_b", page: int = MAP_PAGE,
+                   block: int = MAP_BLOCK) -> DataFrame:
+    """Positions of each wanted range whose earliest span has a moment strictly before the row's own ``moment``.
+
+    Positions are numbered by the borders of the ranges, so the work follows the
+    number of ranges and not their length: between two borders nothing changes.
+    A page is ``page`` such stretches; each (range, page) meets one row of the
+    map of first moments and one list of borders, and no pairs are emitted.
+    ``key`` must identify a wanted row.
     """
     key, by = list(key), list(by)
-    clipped = clip_to_pages(wanted.select(*key, *[c for c in by if c not in key], start, end,
-                                          F.col(moment).alias("_moment")), start, end, page)
-    met = clipped.join(first_seen, [*by, "page"])
+    asked = wanted.select(*key, *[c for c in (*by, start, end) if c not in key], F.col(moment).alias("_moment"))
+    seen = spans.select(*by, start, end, F.col(span_moment).alias("_m"))
+    borders = border_ranks([asked, seen], by, start, end)
+    first = earliest_map(_ranked(seen, borders, by, start, end), by, "_m", "_first", "_last", page, block)
+    own = page_of(F.col("rank"), page)
+    # A border between two pages ends the last stretch of the one before.
+    places = (borders.select(*by, "rank", "at", F.explode(F.array_distinct(F.array(own, page_of(F.greatest(
+        F.col("rank") - 1, F.lit(0)), page)))).alias("page"))
+              .groupBy(*by, "page").agg(F.sort_array(F.collect_list("at")).alias("_at")))
+    met = (clip_to_pages(_ranked(asked, borders, by, start, end), "_first", "_last", page)
+           .join(first, [*by, "page"]).join(places, [*by, "page"]))
+    base = F.col("page") * page
+
+    def at(rank: Column) -> Column:
+        return F.get("_at", (rank - base).cast("int"))
+
     inside = F.aggregate(
         F.filter("runs", lambda r: (r["m"] < F.col("_moment")) & (r["s"] <= F.col("_e")) & (r["e"] >= F.col("_s"))),
         F.lit(0).cast("long"),
-        lambda acc, r: acc + F.least(r["e"], F.col("_e")) - F.greatest(r["s"], F.col("_s")) + 1)
+        lambda acc, r: acc + at(F.least(r["e"], F.col("_e")) + 1) - at(F.greatest(r["s"], F.col("_s"))))
     sums = met.withColumn("_inside", inside).groupBy(*key).agg(F.sum("_inside").alias("_inside"))
     return (wanted.join(sums, key, "left")
             .withColumn(name, F.coalesce(F.col("_inside"), F.lit(0).cast("long"))).drop("_inside"))
@@ -236,4 +270,4 @@ def micros(column: Column | str) -> Column:
 
 
 __all__ = ["PAGE", "MAP_PAGE", "MAP_BLOCK", "sweep", "union_cover", "overlap_totals", "islands", "clip_to_pages", "earliest_map",
-           "covered_earlier", "micros", "page_of"]
+           "covered_before", "border_ranks", "micros", "page_of"]

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attest.functions.intervals import (MAP_PAGE, PAGE, covered_earlier, earliest_map, islands, micros, overlap_totals,
-                                        page_of, union_cover)
+from attest.functions.intervals import (MAP_PAGE, PAGE, covered_before, islands, micros, overlap_totals, page_of,
+                                        union_cover)
 from attest.session import cut_lineage
 
 RANGE = ("url", "start_b", "end_b")
@@ -57,9 +57,9 @@ def bytes_read_before(ranges: DataFrame, ledger: DataFrame, moment: str, key: st
                       page: int = MAP_PAGE) -> DataFrame:
     """Bytes of each range first read strictly before the range's own moment."""
     spans = ledger.select("url", "start_b", "end_b", micros("first_read_at").alias("_m"))
-    seen = earliest_map(spans, ["url"], "_m", page=page)
     rows = ranges.withColumn("_before", micros(moment))
-    return covered_earlier(rows, seen, [key] if isinstance(key, str) else key, ["url"], "_before", "read_before", page=page).drop("_before")
+    return covered_before(rows, spans, [key] if isinstance(key, str) else key, ["url"], "_before", "_m", "read_before",
+                          page=page).drop("_before")
 
 
 def require_seen(reads: DataFrame, ledger: DataFrame, page: int = PAGE) -> DataFrame:
@@ -82,9 +82,8 @@ def judge_reads(ledger: DataFrame, reads: DataFrame, seq: str = "seq", page: int
     """
     before = ledger.select("url", "start_b", "end_b", F.lit(-1).cast("long").alias("_m"))
     spans = before.unionByName(reads.select("url", "start_b", "end_b", F.col(seq).cast("long").alias("_m")))
-    seen = earliest_map(spans, ["url"], "_m", page=page)
-    rows = covered_earlier(reads.withColumn("_own", F.col(seq).cast("long")), seen, [seq], ["url"], "_own", "_old",
-                           page=page).withColumn("_new", length() > F.col("_old")).drop("_own", "_old")
+    rows = covered_before(reads.withColumn("_own", F.col(seq).cast("long")), spans, [seq], ["url"], "_own", "_m", "_old",
+                          page=page).withColumn("_new", length() > F.col("_old")).drop("_own", "_old")
     opener = (rows.groupBy(*RANGE).agg(F.min(F.struct(seq, "sha256", "_new")).alias("o"))
               .select(*RANGE, F.when(F.col("o._new"), F.col("o.sha256")).alias("_opened")))
     logged = distinct_entries(ledger).select(*RANGE, F.col("sha256").alias("_logged"))

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attest.functions.intervals import covered_earlier, earliest_map, islands, union_cover
+from attest.functions.intervals import border_ranks, covered_before, islands, union_cover
 from attest.operators import coverage as cov
 
 SHA = "a" * 64
@@ -51,14 +51,23 @@ def test_sweep_and_map_match_brute_force(spark, seed, page):
     a = spark.createDataFrame(asks, "id int, url string, start_b long, end_b long, t long")
     bytes_of = {i: [b for b in range(lo, hi + 1)] for i, _, lo, hi, _ in asks}
     union = {r.id: r.covered for r in union_cover(a, s, ["url"], page=page).collect()}
-    seen = earliest_map(s, ["url"], "m", page=page, block=4 * page)
-    early = {r.id: r.covered for r in covered_earlier(a, seen, ["id"], ["url"], "t", page=page).collect()}
+    early = {r.id: r.covered for r in
+             covered_before(a, s, ["id"], ["url"], "t", "m", page=page, block=4 * page).collect()}
     for i, url, _, _, t in asks:
         mine = [x for x in spans if x[0] == url]
         assert union[i] == sum(any(lo <= b <= hi for _, lo, hi, _ in mine) for b in bytes_of[i])
         assert early[i] == sum(any(lo <= b <= hi and m < t for _, lo, hi, m in mine) for b in bytes_of[i])
 
 
+def test_a_terabyte_range_costs_a_handful_of_rows(spark):
+    tb = 1 << 40
+    s = spark.createDataFrame([("u", 0, tb - 1, 3), ("u", tb // 2, 2 * tb, 1)], "url string, start_b long, end_b long, m long")
+    a = spark.createDataFrame([(1, "u", 5, 3 * tb, 2), (2, "u", 5, 3 * tb, 9)], "id int, url string, start_b long, end_b long, t long")
+    assert border_ranks([a, s], ["url"]).count() == 6
+    got = {r.id: r.covered for r in covered_before(a, s, ["id"], ["url"], "t", "m").collect()}
+    assert got == {1: 3 * tb // 2 + 1, 2: 2 * tb - 4}
+
+
 def test_touching_spans_are_separate_islands(spark):
     s = spark.createDataFrame([("u", 0, 9), ("u", 10, 19), ("u", 15, 40), ("u", 41, 41)], "url string, start_b long, end_b long")
     assert sorted(r.island for r in islands(s, ["url"], page=16).collect()) == [0, 10, 41]
