@@ -5,6 +5,16 @@ from __future__ import annotations
 import numpy as np
 
 
+_FLAT = 1e-12
+
+
+def centred(x: np.ndarray) -> np.ndarray:
+    """Less its mean; exactly zero if what is left is only rounding."""
+    x = np.asarray(x, float)
+    out = x - x.mean()
+    return out if np.abs(out).max(initial=0.0) > _FLAT * np.abs(x).max(initial=0.0) else np.zeros_like(x)
+
+
 def _best(a: np.ndarray, b: np.ndarray, max_lag: int) -> tuple[np.ndarray, np.ndarray]:
     """For each lag limit 1..max_lag: the best |corr(a[t], b[t + lag])| up to it and its lag.
 
@@ -12,6 +22,8 @@ def _best(a: np.ndarray, b: np.ndarray, max_lag: int) -> tuple[np.ndarray, np.nd
     """
     rows = np.atleast_2d(a)
     n = rows.shape[1]
+    # A stretch is flat when it varies by next to nothing of what the whole series does, whatever the unit.
+    least = _FLAT * np.sqrt((rows * rows).mean(axis=1) * ((b * b).mean() if b.ndim == 1 else (b * b).mean(axis=1)))
     sums, squares = np.cumsum(rows, axis=1), np.cumsum(rows * rows, axis=1)
     scores = np.zeros((len(rows), max_lag))
     for lag in range(1, max_lag + 1):
@@ -22,15 +34,15 @@ def _best(a: np.ndarray, b: np.ndarray, max_lag: int) -> tuple[np.ndarray, np.nd
         mean_a = sums[:, m - 1] / m
         var_a = squares[:, m - 1] / m - mean_a ** 2
         if b.ndim == 1:
-            centred = tail - tail.mean()
-            cov, var_b = head @ centred / m, float(centred @ centred) / m
+            level = tail - tail.mean()
+            cov, var_b = head @ level / m, float(level @ level) / m
         else:
             mean_b = tail.mean(axis=1)
             cov = np.einsum("ij,ij->i", head, tail) / m - mean_a * mean_b
             var_b = np.einsum("ij,ij->i", tail, tail) / m - mean_b ** 2
         scale = np.sqrt(np.clip(var_a, 0, None) * np.clip(var_b, 0, None))
         with np.errstate(invalid="ignore", divide="ignore"):
-            scores[:, lag - 1] = np.where(scale > 1e-15, np.abs(cov) / scale, 0.0)
+            scores[:, lag - 1] = np.where(scale > least, np.abs(cov) / scale, 0.0)
     top = np.maximum.accumulate(scores, axis=1)
     fresh = np.concatenate([np.ones((len(rows), 1), bool), scores[:, 1:] > top[:, :-1]], axis=1)
     lags = np.maximum.accumulate(np.where(fresh, np.arange(1, max_lag + 1), 0), axis=1)
@@ -48,8 +60,7 @@ def pair_scores(source: np.ndarray, target: np.ndarray, shifts: np.ndarray, max_
     Row 0 of each result is the observed pair, the others its surrogates.
     """
     n = min(len(source), len(target))
-    source, target = np.asarray(source[:n], float), np.asarray(target[:n], float)
-    source, target = source - source.mean(), target - target.mean()
+    source, target = centred(source[:n]), centred(target[:n])
     starts = np.concatenate([[0], np.asarray(shifts, dtype=np.int64) % n])
     rotated = np.concatenate([source, source])[starts[:, None] + np.arange(n)]
     return _best(rotated, target, max_lag), _reverse(target, rotated, max_lag)

@@ -67,8 +67,9 @@ def lagged_corr(pairs: DataFrame, max_lag: int, keys: Sequence[str] = ("window_i
 
 def shifts(n_surrogates: int, seed: Column, length: Column) -> Column:
     """Deterministic rotations 1..length-1, one per surrogate."""
-    return F.transform(F.sequence(F.lit(1), F.lit(n_surrogates)),
-                       lambda k: F.lit(1) + F.pmod(F.xxhash64(seed, k), length.cast("long") - 1))
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(n_surrogates)),
+                        lambda k: F.lit(1) + F.pmod(F.xxhash64(seed, k), F.greatest(length.cast("long") - 1, F.lit(1))))
+    return F.when(length >= 2, drawn).otherwise(F.array().cast("array<bigint>"))
 
 
 def surrogates(pairs: DataFrame, n_surrogates: int, seed: Column, max_lag: int, key: str = "window_id") -> DataFrame:
@@ -103,6 +104,7 @@ def max_stat_p(scores: DataFrame, window: Sequence[str], edge: str, k: str = "k"
 
 _TEST = ("fwd_score double, fwd_lag int, fwd_p double, fwd_adj_p double, rev_score double, rev_lag int, rev_p double, "
          "rev_adj_p double")
+_TEST_NAMES = [part.split()[0] for part in _TEST.split(", ")]
 
 
 def coupling_tests(todo: DataFrame, n_surrogates: int, keys: Sequence[str]) -> DataFrame:
@@ -110,11 +112,13 @@ def coupling_tests(todo: DataFrame, n_surrogates: int, keys: Sequence[str]) -> D
 
     ``todo`` has the keys, ``seed``, ``source``, ``target`` and ``arms
     array<struct<arm, max_lag>>``. Rows are independent and leave in one pass;
-    only numpy work on one pair happens in Python.
+    only numpy work on one pair happens in Python. A pair that is too short for
+    an arm's lag window, or too short to be rotated, gets a row without scores
+    and with a ``reason``; the registered lag stays as it is.
     """
     length = F.least(F.size("source"), F.size("target"))
     rows = todo.withColumn("shifts", shifts(n_surrogates, F.col("seed"), length)) \
-        .withColumn("limits", F.transform("arms", lambda a: F.least(a["max_lag"].cast("int"), length - 2))) \
+        .withColumn("limits", F.transform("arms", lambda a: a["max_lag"].cast("int"))) \
         .withColumn("names", F.col("arms.arm")).select(*keys, "seed", "source", "target", "shifts", "limits", "names")
     kinds = dict(todo.dtypes)
     head = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "seed"])
@@ -123,15 +127,20 @@ def coupling_tests(todo: DataFrame, n_surrogates: int, keys: Sequence[str]) -> D
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                tests = judge(np.asarray(row["source"]), np.asarray(row["target"]), np.asarray(row["shifts"]),
-                              [int(x) for x in row["limits"]])
+                limits, length = [int(x) for x in row["limits"]], min(len(row["source"]), len(row["target"]))
+                fits = [x for x in limits if 1 <= x <= length - 2]
+                tests = iter(judge(np.asarray(row["source"]), np.asarray(row["target"]), np.asarray(row["shifts"]), fits)
+                             if fits else [])
                 common = {c: row[c] for c in [*keys, "seed"]}
-                out += [{**common, "arm": name, "max_lag": int(limit), **test}
-                        for name, limit, test in zip(row["names"], row["limits"], tests)]
+                for name, limit in zip(row["names"], limits):
+                    short = limit not in fits
+                    told = {"reason": f"{length} samples are too few for a lag of {limit}"} if short else next(tests)
+                    out.append({**common, "arm": name, "max_lag": limit, **told})
             if out:
-                yield pd.DataFrame(out)
+                tests = pd.DataFrame(out).reindex(columns=[*keys, "seed", "arm", "max_lag", *_TEST_NAMES, "reason"])
+                yield tests.astype({"fwd_lag": "Int32", "rev_lag": "Int32", "reason": "string"})
 
-    return spread(rows, *keys, always=True).mapInPandas(run, f"{head}, arm string, max_lag int, {_TEST}")
+    return spread(rows, *keys, always=True).mapInPandas(run, f"{head}, arm string, max_lag int, {_TEST}, reason string")
 
 
 def _arms_column(arms: Sequence[Arm], freq: Column, fs: float) -> Column:

@@ -231,19 +231,17 @@ def measure_simple(tests: DataFrame, alpha: float, fs: float, peak_tol: float, k
     return to_long(wide, SIMPLE_NAMES, keys)
 
 
-def by_frequency(tests: DataFrame, alpha: float, step: float = 1 / 32) -> DataFrame:
-    """Share of windows detected per frequency bin and arm; bins need three windows once there are sixty."""
+def by_frequency(tests: DataFrame, alpha: float, step: float = 1 / 32, least: int = 3) -> DataFrame:
+    """Share of windows detected per frequency bin and arm; ``enough`` marks bins with ``least`` windows or more."""
     real = tests.where(F.col("kind") == "real")
     positive = F.col("freq_hz") > 0
     slot = F.when(positive, F.floor(F.col("freq_hz") / F.lit(step) + F.lit(1e-9)))
     small = real.groupBy(slot.alias("bin"), "arm").agg(F.count(F.lit(1)).alias("n"),
                                                        F.sum(detected("fwd_adj_p", alpha).cast("long")).alias("hits"))
-    windows = F.sum("n").over(Window.partitionBy("arm"))  # one row per bin
-    least = F.when(windows >= 60, 3).otherwise(1)
-    return (small.withColumn("_least", least).where(F.col("bin").isNotNull() & (F.col("n") >= F.col("_least")))
+    return (small.where(F.col("bin").isNotNull())
             .select(F.col("bin").cast("long").alias("bin"), "arm",
                     ((F.col("bin") + F.lit(0.5)) * F.lit(step)).alias("center_hz"), F.col("n").alias("windows"),
-                    (F.col("hits") / F.col("n")).alias("share")))
+                    (F.col("hits") / F.col("n")).alias("share"), (F.col("n") >= least).alias("enough")))
 
 
 def window_lengths(windows: DataFrame) -> DataFrame:

@@ -111,12 +111,25 @@ def amp_thresholds(samples: DataFrame, by: Sequence[str], value: str = "x") -> D
 
 def local_peaks(samples: DataFrame, by: Sequence[str], value: str, height: Column | float, pos: str = "pos",
                 chunk: int = CHUNK) -> DataFrame:
-    """Rows strictly above both neighbours and at least ``height``; the ends are no peaks."""
-    halo, w = _neighbours(samples, by, pos, chunk, 1, 1)
-    rows = halo.select("*", F.lag(value).over(w).alias("_l"), F.lead(value).over(w).alias("_r")).where("_core")
+    """Rows above what stands on both sides and at least ``height``; a flat top counts at its middle, the ends never.
+
+    Runs of equal values are reduced to their first row and numbered, so a flat
+    stretch may be longer than a chunk.
+    """
+    by = list(by)
+    halo, w = _neighbours(samples, by, pos, chunk, 1, 0)
+    changed = ~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.col(pos) == 0)
+    starts = halo.select(*by, F.col(pos).alias("_from"), F.col(value).alias("_level"), "_core", changed.alias("_new"))
+    runs = ordered_index(starts.where("_core AND _new").select(*by, "_from", "_level"), ["_from"], by, "_run")
+    halo, w = _neighbours(runs, by, "_run", chunk, 1, 1)
+    sides = halo.select("*", F.lag("_level").over(w).alias("_l"), F.lead("_level").over(w).alias("_r"),
+                        F.lead("_from").over(w).alias("_next")).where("_core")
+    middle = F.col("_from") + F.floor((F.col("_next") - 1 - F.col("_from")) / F.lit(2))
+    tops = (sides.where((F.col("_level") > F.col("_l")) & (F.col("_level") > F.col("_r")))
+            .select(*by, middle.cast("long").alias("_top")))
     limit = height if isinstance(height, Column) else F.lit(float(height))
-    return (rows.where((F.col(value) > F.col("_l")) & (F.col(value) > F.col("_r")) & (F.col(value) >= limit))
-            .drop("_l", "_r", "_chunk", "_core"))
+    found = samples.join(tops.withColumnRenamed("_top", pos), [*by, pos], "left_semi")
+    return found.where(F.col(value) >= limit).select(*samples.columns)
 
 
 def resample_linear(knots: DataFrame, by: Sequence[str], step_us: int, t: str = "t_us", value: str = "x",

@@ -117,11 +117,15 @@ def amp_thresholds(spark, sf):
     return rows.select("channel", "flipped", *[F.round(c, 9).alias(c) for c in ("p_up", "p_down", "height")])
 
 
-@query("local_peaks", v.sql("v_samples", f"""WITH {_IDX}, n AS (SELECT *, lag(x) OVER (PARTITION BY record ORDER BY pos) AS l,
-  lead(x) OVER (PARTITION BY record ORDER BY pos) AS r FROM idx)
-SELECT record, event_id, x FROM n WHERE x > l AND x > r AND x >= 40"""))
+# Rounded down to tens, so that many tops are flat.
+@query("local_peaks", v.sql("v_samples", f"""WITH {_IDX}, whole AS (SELECT record, event_id, pos, floor(x / 10) * 10 AS x FROM idx),
+starts AS (SELECT record, pos, x FROM (SELECT *, lag(x) OVER (PARTITION BY record ORDER BY pos) AS l FROM whole) q WHERE l IS NULL OR l <> x),
+n AS (SELECT record, pos, x, lag(x) OVER w AS l, lead(x) OVER w AS r, lead(pos) OVER w AS behind FROM starts WINDOW w AS (PARTITION BY record ORDER BY pos))
+SELECT whole.record, whole.event_id, whole.x FROM n JOIN whole ON whole.record = n.record AND whole.pos = n.pos + (n.behind - 1 - n.pos) // 2
+WHERE n.x > l AND n.x > r AND n.x >= 40"""))
 def local_peaks(spark, sf):
-    return se.local_peaks(samples(spark, sf), ["record"], "x", 40.0, chunk=64).select("record", "event_id", "x")
+    whole = samples(spark, sf).withColumn("x", (F.floor(F.col("x") / F.lit(10)) * 10).cast("double"))
+    return se.local_peaks(whole, ["record"], "x", 40.0, chunk=64).select("record", "event_id", "x")
 
 
 _STEP_US = 6 * 3600 * 1_000_000

@@ -185,6 +185,32 @@ def test_tests_match_a_direct_computation(spark):
     assert catalyst.fwd_lag == 3 and catalyst.fwd_score == pytest.approx(rows["b"].fwd_score)
 
 
+def test_scale_flatness_and_short_pairs(spark):
+    rng = np.random.default_rng(7)
+    source = rng.normal(size=60)
+    target = np.roll(source, 2) + .2 * rng.normal(size=60)
+    flat = [.1] * 60
+    rows = [(1, source, target), (2, source * 1e-9, target * 1e-9), (3, flat, target), (4, source[:3], target[:3]), (5, source[:1], target[:1])]
+    todo = spark.createDataFrame([(i, 3, list(map(float, a)), list(map(float, b)), [("a", 4)]) for i, a, b in rows],
+                                 "window_id int, seed long, source array<double>, target array<double>, arms array<struct<arm:string,max_lag:int>>")
+    got = {r.window_id: r for r in cp.coupling_tests(todo, 9, ["window_id"]).collect()}
+    assert got[2].fwd_score == pytest.approx(got[1].fwd_score) and got[2].fwd_lag == got[1].fwd_lag == 2
+    assert got[3].fwd_score == 0.0 and got[3].reason is None
+    for i, n in ((4, 3), (5, 1)):
+        assert got[i].max_lag == 4 and got[i].fwd_score is None and got[i].fwd_lag is None
+        assert got[i].reason == f"{n} samples are too few for a lag of 4"
+
+
+@pytest.mark.parametrize("chunk", [2, 4, 64])
+def test_flat_tops_are_peaks(spark, chunk):
+    given = {"a": [0, 5, 5, 0, 7, 0], "b": [1] * 5 + [3] * 9 + [2, 2, 4, 4], "c": [9, 1, 2, 2, 2, 1, 9], "d": [4], "e": [2, 2, 2]}
+    rows = [(r, i, float(x)) for r, xs in given.items() for i, x in enumerate(xs)]
+    samples = spark.createDataFrame(rows, "record string, pos long, x double")
+    got = {(r.record, r.pos) for r in se.local_peaks(samples, ["record"], "x", 2.0, chunk=chunk).collect()}
+    want = {(r, int(p)) for r, xs in given.items() for p in fl.peaks(np.array(xs, float), 2.0, 1)}
+    assert got == want and ("a", 1) in got
+
+
 def test_the_study_is_the_same_however_it_is_scheduled(spark):
     rng = np.random.default_rng(2)
     rows = [(i, i, i % 3, i % 2, .25, rng.normal(size=40).tolist(), rng.normal(size=40).tolist()) for i in range(8)]
