@@ -133,7 +133,25 @@ def _batch(spark, sf):
                                       "CASE WHEN seq % 5 = 0 THEN sha2('changed', 256) ELSE sha256 END AS sha256"))
 
 
-@query("record_reads")
+# A read is new if some byte of it is neither in the ledger nor in an earlier read.
+@query("record_reads", v.sql("v_ledger v_wanted", f"""WITH {_EXACT_SQL}, first_pass AS (
+  SELECT req_id AS seq, url, start_b - 37 AS start_b, end_b, sha256(concat(url, '#', start_b, exp_id)) AS sha256 FROM v_wanted),
+reads AS (SELECT * FROM first_pass UNION ALL SELECT seq + 1000000000000, url, start_b, end_b,
+  CASE WHEN seq % 5 = 0 THEN sha256('changed') ELSE sha256 END FROM first_pass),
+spans AS (SELECT url, start_b, end_b, CAST(-1 AS BIGINT) AS m FROM v_ledger UNION ALL SELECT url, start_b, end_b, seq FROM reads),
+hits AS (SELECT r.seq, greatest(l.start_b, r.start_b) AS s, least(l.end_b, r.end_b) AS e
+  FROM reads r JOIN spans l ON l.url = r.url AND l.start_b <= r.end_b AND l.end_b >= r.start_b AND l.m < r.seq),
+ahead AS (SELECT seq, s, e, max(e) OVER (PARTITION BY seq ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM hits),
+cover AS (SELECT seq, sum(greatest(0, e - greatest(s, coalesce(m + 1, s)) + 1)) AS covered FROM ahead GROUP BY seq),
+judged AS (SELECT r.*, r.end_b - r.start_b + 1 > coalesce(c.covered, 0) AS fresh FROM reads r LEFT JOIN cover c ON c.seq = r.seq),
+opener AS (SELECT url, start_b, end_b, CASE WHEN fresh THEN sha256 END AS sha256 FROM (
+  SELECT *, row_number() OVER (PARTITION BY url, start_b, end_b ORDER BY seq) AS rn FROM judged) q WHERE rn = 1),
+told AS (SELECT j.url, j.end_b - j.start_b + 1 AS bytes, CASE WHEN x.sha256 IS NULL AND j.fresh THEN 'appended'
+    WHEN coalesce(x.sha256, o.sha256) IS NULL THEN 'covered' WHEN coalesce(x.sha256, o.sha256) <> j.sha256 THEN 'content_changed'
+    ELSE 'known' END AS outcome
+  FROM judged j LEFT JOIN exact x ON x.url = j.url AND x.start_b = j.start_b AND x.end_b = j.end_b
+  LEFT JOIN opener o ON o.url = j.url AND o.start_b = j.start_b AND o.end_b = j.end_b)
+SELECT url, outcome, CAST(count(*) AS BIGINT) AS reads, CAST(sum(bytes) AS BIGINT) AS bytes FROM told GROUP BY url, outcome"""))
 def record_reads(spark, sf):
     judged = cov.judge_reads(v.ledger(spark, sf), _batch(spark, sf))
     return judged.groupBy("url", "outcome").agg(F.count(F.lit(1)).alias("reads"), F.sum(cov.length()).alias("bytes"))

@@ -13,8 +13,8 @@ FS = 50.0
 
 def text_windows(spark, sf):
     """Each document's code points as one channel and the reversed text as the other."""
-    docs = v.table(spark, sf, "documents").where("text <> ''")
-    codes = F.transform(F.split("text", ""), lambda c: F.ascii(c).cast("double"))
+    docs = v.table(spark, sf, "documents")
+    codes = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c).cast("double"))
     return docs.select(F.col("source").alias("record"), F.col("doc_id").alias("segment"), codes.alias("ecg")) \
         .withColumn("resp", F.reverse("ecg"))
 
@@ -48,4 +48,7 @@ def normalise(spark, sf):
 @query("spectral_peaks")
 def spectral_peaks(spark, sf):
     rows = sg.spectrum(v.pairs(spark, sf), "source", v.FS, ["window_id"])
-    return rows.groupBy("window_id").agg(F.max_by("hz", "power").alias("top_hz"), F.max("power").alias("top_power"))
+    strongest = sg.dominant_hz(v.pairs(spark, sf), "source", v.FS).select("window_id", "freq_hz")
+    # The strongest bin of the spectrum and, as the studies use it, the strongest local maximum.
+    return (rows.groupBy("window_id").agg(F.max_by("hz", "power").alias("top_hz"), F.max("power").alias("top_power"))
+            .join(strongest, "window_id"))

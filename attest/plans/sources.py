@@ -29,8 +29,8 @@ def ledger_sink(spark, sf):
 
 def _document_files(spark, sf):
     """Every document as a two-channel record, in either format, with its header."""
-    docs = v.table(spark, sf, "documents").where("text <> ''")
-    codes = F.transform(F.split("text", ""), lambda c: (F.ascii(c) * 7 % 4096 - 2048).cast("long"))
+    docs = v.table(spark, sf, "documents").where("text IS NOT NULL")
+    codes = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: (F.ascii(c) * 7 % 4096 - 2048).cast("long"))
     even = F.slice(F.concat("_c", F.array(F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"))), F.lit(1),
                    (F.ceil(F.size("_c") / 4) * 4).cast("int"))  # whole frames in aligned pairs
     rows = docs.select("doc_id", codes.alias("_c")).withColumn("digital", even).withColumn("packed", F.col("doc_id") % 2 == 0)

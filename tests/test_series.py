@@ -201,6 +201,15 @@ def test_scale_flatness_and_short_pairs(spark):
         assert got[i].reason == f"{n} samples are too few for a lag of 4"
 
 
+def test_empty_and_short_windows_are_excluded(spark):
+    rows = [(1, [], []), (2, [1.0] * 10, [2.0] * 10), (3, None, None), (4, [0.0, 1.0] * 400, [])]
+    windows = spark.createDataFrame(rows, "segment int, ecg array<double>, resp array<double>")
+    kept, excluded = sg.paired_series(windows, ["segment"], 50.0, 4.0, .05, .5)
+    assert kept.collect() == [] and {r.segment for r in excluded.collect()} == {1, 2, 3, 4}
+    assert [r.beats for r in sg.detect_beats(windows, "ecg", 50.0).orderBy("segment").collect()][:3] == [None] * 3
+    assert {r.segment for r in sg.spectrum(windows, "ecg", 50.0, ["segment"]).collect()} == {2, 4}
+
+
 @pytest.mark.parametrize("chunk", [2, 4, 64])
 def test_flat_tops_are_peaks(spark, chunk):
     given = {"a": [0, 5, 5, 0, 7, 0], "b": [1] * 5 + [3] * 9 + [2, 2, 4, 4], "c": [9, 1, 2, 2, 2, 1, 9], "d": [4], "e": [2, 2, 2]}
