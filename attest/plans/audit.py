@@ -687,7 +687,35 @@ def graph_edges(spark, sf):
     return ln.evidence_graph(_corpus(spark, sf))[1]
 
 
-@query("graph_nodes")
+_NODES = """ranges AS (SELECT DISTINCT url, start_b, end_b FROM (
+  SELECT concat('part/', s_nationkey) AS url, s_suppkey AS start_b, s_suppkey + 9 AS end_b FROM supplier
+  UNION ALL SELECT concat('part/', o_custkey % 60), (o_orderkey % 5000) * 100 + 37, (o_orderkey % 5000) * 100 + 137 + (o_custkey % 400) FROM orders
+  UNION ALL SELECT url, start_b, end_b FROM v_ledger) q),
+first_reads AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url, start_b, end_b ORDER BY first_read_at, first_read_by, sha256) AS rn FROM v_ledger) q
+  WHERE rn = 1),
+mentions AS (
+  SELECT concat('exploration:explorations/', s_suppkey) AS id, 'exploration' AS kind, 'observation (not evidence)' AS role, s_name AS sha256 FROM supplier
+  UNION ALL BY NAME SELECT concat('code:src', s_suppkey % 9) AS id, 'code' AS kind, 'implementation' AS role, '1' AS version FROM supplier
+  UNION ALL BY NAME SELECT concat('registration:', exp_id) AS id, 'registration' AS kind, 'criteria' AS role, title, CAST(created_at AS VARCHAR) AS created_at, definition_sha256 AS sha256 FROM v_exp
+  UNION ALL BY NAME SELECT concat('file:specs/', c_custkey % 100) AS id, 'spec' AS kind, 'intent' AS role FROM v_exp WHERE c_custkey % 3 = 0
+  UNION ALL BY NAME SELECT concat('file:framing/', c_custkey) AS id, CASE WHEN c_custkey % 4 = 0 THEN 'rehearsal' ELSE 'framing' END AS kind,
+    CASE WHEN c_custkey % 4 = 0 THEN 'design (not evidence)' ELSE 'context (not evidence)' END AS role, definition_sha256 AS sha256 FROM v_exp
+  UNION ALL BY NAME SELECT concat('run:', run_id) AS id, 'run' AS kind, 'measurement' AS role, result_sha256 AS sha256, CAST(started_at AS VARCHAR) AS started_at FROM v_run
+  UNION ALL BY NAME SELECT concat('verdict:', run_id) AS id, 'verdict' AS kind, 'evaluation' AS role, status, verdict FROM v_run
+  UNION ALL BY NAME SELECT concat('commit:', commit_id) AS id, 'git-commit' AS kind, 'temporal anchor' AS role, CAST(NULL AS VARCHAR) AS committed_at FROM v_run WHERE commit_id IS NOT NULL
+  UNION ALL BY NAME SELECT concat('code:', source_sha256) AS id, 'code' AS kind, 'implementation' AS role, '1' AS version FROM v_run
+  UNION ALL BY NAME SELECT concat('file:', uri) AS id, 'report' AS kind, 'artifact' AS role, sha256 FROM v_art WHERE uri IS NOT NULL
+  UNION ALL BY NAME SELECT concat('receipt:replays/', o_orderkey) AS id, 'replay-receipt' AS kind, 'reproduction' AS role, result_sha256 AS sha256, status AS outcome FROM v_run WHERE o_orderkey % 4 = 0
+  UNION ALL BY NAME SELECT concat('data:', r.url, '#', r.start_b, '-', r.end_b) AS id, 'data-range' AS kind, 'input' AS role,
+    CAST(f.first_read_at AS VARCHAR) AS first_read_at, f.first_read_by, f.sha256 FROM ranges r LEFT JOIN first_reads f ON f.url = r.url AND f.start_b = r.start_b AND f.end_b = r.end_b),
+nd AS (SELECT id, min(kind) AS kind, min(role) AS role, min(sha256) AS sha256, min(title) AS title, min(created_at) AS created_at, min(started_at) AS started_at,
+  min(status) AS status, min(verdict) AS verdict, min(first_read_at) AS first_read_at, min(first_read_by) AS first_read_by, min(committed_at) AS committed_at,
+  min(version) AS version, min(outcome) AS outcome FROM mentions GROUP BY id)"""
+def _graph_sql(body: str) -> str:
+    return v.sql("v_ledger", sql("v_exp v_run v_art", body))
+
+
+@query("graph_nodes", _graph_sql(f"WITH {_NODES} SELECT * FROM nd"))
 def graph_nodes(spark, sf):
     return ln.evidence_graph(_corpus(spark, sf))[0]
 
@@ -703,26 +731,29 @@ def merge_nodes(spark, sf):
     return ln.merge_nodes(m, ["attr"])
 
 
-@query("graph_digest", sql("v_exp v_run v_art", f"WITH {_EDGES}, nd AS (SELECT DISTINCT src AS id FROM ed), " + _tree_sql(
-    """SELECT sha256(concat('n:{"id":"', id, '"}')) AS hash FROM nd UNION ALL
-    SELECT sha256(concat('e:{"dst":"', dst, '","relation":"', relation, '","src":"', src, '"}')) FROM ed""")))
+_NODE_JSON = "concat('n:{', " + ", ',', ".join(
+    f"""'"{c}":', coalesce('"' || {c} || '"', 'null')""" for c in sorted(["id", "kind", "role", *ln.NODE_ATTRS])) + ", '}')"
+
+
+@query("graph_digest", _graph_sql(f"WITH {_EDGES}, {_NODES}, " + _tree_sql(
+    f"""SELECT sha256({_NODE_JSON}) AS hash FROM nd UNION ALL
+    SELECT sha256(concat('e:{{"dst":"', dst, '","relation":"', relation, '","src":"', src, '"}}')) FROM ed""")))
 def graph_digest(spark, sf):
-    edges = cut_lineage(ln.evidence_graph(_corpus(spark, sf))[1])  # read twice below
-    return ln.graph_digest(edges.select(F.col("src").alias("id")).distinct(), edges)
+    return ln.graph_digest(*ln.evidence_graph(_corpus(spark, sf)))
 
 
-@query("neighbourhood", sql("v_exp v_run v_art", f"""WITH {_EDGES} SELECT relation, split_part(dst, ':', 1) AS kind, CAST(count(*) AS BIGINT) AS edges FROM ed GROUP BY 1, 2"""))
+@query("neighbourhood", _graph_sql(f"""WITH {_EDGES}, {_NODES} SELECT ed.relation, nd.kind, nd.role, CAST(count(*) AS BIGINT) AS edges
+FROM ed LEFT JOIN nd ON nd.id = ed.dst GROUP BY 1, 2, 3"""))
 def neighbourhood(spark, sf):
-    nodes, edges = ln.evidence_graph(_corpus(spark, sf))
-    rows = ln.neighbourhood(nodes, edges)
-    return rows.groupBy("relation", F.split("dst", ":")[0].alias("kind")).agg(F.count(F.lit(1)).alias("edges"))
+    rows = ln.neighbourhood(*ln.evidence_graph(_corpus(spark, sf)))
+    return rows.groupBy("relation", "kind", "role").agg(F.count(F.lit(1)).alias("edges"))
 
 
 @query("lineage_ancestors", sql("v_exp v_run v_art", f"""WITH RECURSIVE {_EDGES}, walk AS (
   SELECT concat('verdict:', run_id) AS start, concat('verdict:', run_id) AS node, 0 AS hops FROM v_run WHERE status = 'error'
-  UNION SELECT w.start, e.dst, w.hops + 1 FROM walk w JOIN ed e ON e.src = w.node WHERE w.hops < 40 AND e.relation <> 'consumed')
+  UNION SELECT w.start, e.dst, w.hops + 1 FROM walk w JOIN ed e ON e.src = w.node WHERE w.hops < 40)
 SELECT start, node, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY start, node"""))
 def lineage_ancestors(spark, sf):
-    edges = ln.evidence_graph(_corpus(spark, sf))[1].where("relation <> 'consumed'")
+    edges = ln.evidence_graph(_corpus(spark, sf))[1]
     starts = view(spark, sf, "v_run").where("status = 'error'").select(F.concat(F.lit("verdict:"), "run_id").alias("id"))
     return ln.ancestors(edges, starts)

@@ -158,13 +158,13 @@ def ingest_report(spark, sf):
     return rt.ingest_report(docs)
 
 
-@query("record_hits", """SELECT CAST(page_id AS DOUBLE) / 1000 AS score, concat('page:', page_id) AS id, url, CASE WHEN page_id % 3 = 0 THEN '' ELSE substr(html, 1, 40) END AS abstract,
+@query("record_hits", """SELECT CAST(page_id AS DOUBLE) / 1000 AS score, concat('page:', page_id) AS id, url, CASE WHEN page_id % 3 = 0 THEN '' ELSE html END AS abstract,
   CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END AS authors, 0 AS highlights, CASE WHEN page_id % 4 = 0 THEN NULL ELSE CAST(page_id AS DOUBLE) / 2000 END AS relevance FROM pages""")
 def record_hits(spark, sf):
     hits = v.table(spark, sf, "pages").selectExpr(
         "CAST(page_id AS DOUBLE) / CAST(1000 AS DOUBLE) AS score", "map('fts', page_id) AS explanation", "concat('page:', page_id) AS id", "'t' AS title", "'web' AS source", "url",
         "CAST(NULL AS STRING) AS pdf_url", "CAST(NULL AS STRING) AS published", "CAST(NULL AS STRING) AS version",
-        "CASE WHEN page_id % 3 = 0 THEN NULL ELSE substr(html, 1, 40) END AS abstract", "CASE WHEN page_id % 2 = 0 THEN NULL ELSE array('a') END AS authors",
+        "CASE WHEN page_id % 3 = 0 THEN NULL ELSE html END AS abstract", "CASE WHEN page_id % 2 = 0 THEN NULL ELSE array('a') END AS authors",
         "CAST(NULL AS ARRAY<STRING>) AS highlights", "CASE WHEN page_id % 4 = 0 THEN NULL ELSE CAST(page_id AS DOUBLE) / CAST(2000 AS DOUBLE) END AS relevance")
     return rt.record_hits(hits).select("score", "document.id", "document.url", "document.abstract", F.size("document.authors").alias("authors"),
                                        F.size("highlights").alias("highlights"), "relevance")
