@@ -13,7 +13,7 @@ from attest.operators import lineage as ln
 from attest.operators import rows as rw
 from attest.plans import coverage as pc
 from attest.plans import views as v
-from attest.plans.registry import query
+from attest.plans.registry import ORACLES, query
 from attest.session import cut_lineage
 
 
@@ -438,14 +438,42 @@ def snapshot_checks(spark, sf):
     return au.snapshot_checks(bound, snaps, _reserved(spark, sf), ledger)
 
 
-@query("run_data_checks")
+def _problems_sql(name: str, subjects: str, fine: str) -> str:
+    """One check per row of ``subjects(subject)`` from ``bad(subject, problem)``: the first five problems and how many there are."""
+    return f"""SELECT '{name}' AS name, s.subject, CASE WHEN b.n > 0 THEN 'fail' ELSE 'ok' END AS status,
+  CASE WHEN b.n > 0 THEN concat(b.shown, CASE WHEN b.n > 5 THEN concat('; and ', b.n - 5, ' more') ELSE '' END) ELSE {fine} END AS detail
+FROM {subjects} s LEFT JOIN (SELECT subject, count(*) AS n, string_agg(problem, '; ' ORDER BY problem) FILTER (rn <= 5) AS shown FROM (
+  SELECT *, row_number() OVER (PARTITION BY subject ORDER BY problem) AS rn FROM bad) q GROUP BY subject) b ON b.subject = s.subject"""
+
+
+@query("run_data_checks", v.sql("v_ledger", sql("v_run", f"""WITH {pc._EXACT_SQL}, reads AS (
+  SELECT concat('R-', order_no) AS subject, concat('rec', line_no) AS record, url, start_b, CASE WHEN line_no = 3 THEN end_b + 4000 ELSE end_b END AS end_b,
+    CASE WHEN line_no = 2 THEN sha256('changed') ELSE sha256 END AS sha256 FROM v_ledger),
+{pc._SEEN_TAIL.format(reads='reads')}, judged AS (
+  SELECT r.subject, concat(r.record, CASE WHEN x.sha256 <> r.sha256 THEN ': content differs from the ledger'
+    WHEN x.sha256 IS NULL AND r.end_b - r.start_b + 1 > coalesce(c.covered, 0) THEN ': bytes the ledger never logged' END) AS problem, x.sha256 <> r.sha256 OR
+    (x.sha256 IS NULL AND r.end_b - r.start_b + 1 > coalesce(c.covered, 0)) AS broken
+  FROM reads r LEFT JOIN cover c ON c.url = r.url AND c.ws = r.start_b AND c.we = r.end_b
+  LEFT JOIN exact x ON x.url = r.url AND x.start_b = r.start_b AND x.end_b = r.end_b),
+bad AS (SELECT subject, problem FROM judged WHERE broken),
+sizes AS (SELECT r.run_id AS subject, count(*) AS files FROM v_run r JOIN reads f ON f.subject = r.run_id GROUP BY r.run_id)
+{_problems_sql('run.data', 'sizes', "concat(s.files, ' byte ranges logged in the ledger with identical content')")}
+UNION ALL SELECT 'run.data', run_id, CASE WHEN status = 'error' THEN 'warn' ELSE 'fail' END, 'the run records no dataset files' FROM v_run
+WHERE run_id NOT IN (SELECT subject FROM sizes)""")))
 def run_data_checks(spark, sf):
     files = _files(spark, sf).selectExpr("concat('R-', run_id) AS run_id", "concat('rec', line_no) AS record", "url", "start_b",
                                          "CASE WHEN line_no = 3 THEN end_b + 4000 ELSE end_b END AS end_b", "sha256")
     return au.run_data_checks(view(spark, sf, "v_run"), files, v.ledger(spark, sf))
 
 
-@query("ledger_checks")
+@query("ledger_checks", v.sql("v_ledger", f"""WITH bad AS (SELECT 'ledger' AS subject, problem FROM ({ORACLES["ledger_history"]}) h),
+one AS (SELECT 'ledger' AS subject), states AS (
+  SELECT count(*) FILTER (first_read_by = 'exploration') AS f, count(*) FILTER (first_read_by <> 'exploration' AND first_read_by NOT IN (
+    SELECT concat('EXP-', s_suppkey % 7) FROM supplier)) AS u FROM v_ledger)
+{_problems_sql('ledger.history', 'one', "'append-only across all versions'")}
+UNION ALL SELECT 'ledger.accounted', 'ledger', CASE WHEN f > 0 THEN 'fail' WHEN u > 0 THEN 'warn' ELSE 'ok' END,
+  CASE WHEN f > 0 THEN concat('an exploration is the first reader of ', f, ' ranges') WHEN u > 0 THEN concat(u, ' first reads are consumed by no recorded run')
+  ELSE 'every first read belongs to a recorded run of its experiment' END FROM states"""))
 def ledger_checks(spark, sf):
     problems = pc.ledger_history(spark, sf).select("problem")
     rows = v.ledger(spark, sf)
@@ -494,7 +522,13 @@ def spec_checks(spark, sf):
     return au.spec_checks(rw.drift(stored, draft, "exp_id"))
 
 
-@query("exploration_checks")
+@query("exploration_checks", v.sql("v_ledger v_wanted", f"""WITH {pc._COVER_SQL.format(extra=" AND l.first_read_at < w.moment + INTERVAL 1 SECOND")},
+bad AS (SELECT concat('explorations/', w.req_id % 3000) AS subject, concat('rec', w.req_id, ': not all bytes were seen before') AS problem
+  FROM v_wanted w LEFT JOIN cover c ON c.req_id = w.req_id WHERE coalesce(c.covered, 0) < w.end_b - w.start_b + 1),
+paths AS (SELECT concat('explorations/', req_id % 3000) AS subject, min(req_id) % 7 = 0 AS draft FROM v_wanted GROUP BY 1)
+SELECT 'exploration.label' AS name, subject, CASE WHEN draft THEN 'fail' ELSE 'ok' END AS status,
+  CASE WHEN draft THEN 'not labelled as exploratory' ELSE 'labelled exploratory: not evidence' END AS detail FROM paths
+UNION ALL {_problems_sql('exploration.data', 'paths', "'all ranges seen before'")}"""))
 def exploration_checks(spark, sf):
     files = v.wanted(spark, sf).selectExpr("concat('explorations/', req_id % 3000) AS path", "req_id", "concat('rec', req_id) AS record",
                                            "url", "start_b", "end_b", "'-' AS sha256", "moment")
@@ -556,10 +590,13 @@ def all_run_checks(spark, sf):
     runs = view(spark, sf, "v_run")
     return au.union_checks([run_submission_checks(spark, sf), run_artifact_checks(spark, sf), run_summary_checks(spark, sf),
                             run_report_checks(spark, sf), run_timing_checks(spark, sf), run_anchor_checks(spark, sf),
-                            run_published_checks(spark, sf), run_code_checks(spark, sf)])
+                            run_published_checks(spark, sf), run_code_checks(spark, sf), run_data_checks(spark, sf)])
+
+
+_RUN_CHECKS = ["submission", "artifact", "summary", "report", "timing", "anchor", "published", "code", "data"]
 
 
-@query("run_checks")
+@query("run_checks", " UNION ALL ".join(f"SELECT name, subject, status, detail FROM ({ORACLES[f'run_{c}_checks']}) {c}_checks" for c in _RUN_CHECKS))
 def run_checks(spark, sf):
     return all_run_checks(spark, sf)
 

@@ -185,8 +185,8 @@ def ledger_extends(spark, sf):
     return cov.extends(entries, _later(entries)).select("url", "start_b", "end_b", "problem")
 
 
-@query("ledger_history", v.sql("v_ledger", f"""WITH {_EXACT_SQL},
-versions AS (SELECT 1 AS seq, * FROM exact WHERE first_read_at < TIMESTAMP '1999-01-01'
+@query("ledger_history", v.sql("v_ledger", f"""WITH {_EXACT_SQL.replace("exact AS (", "exact AS MATERIALIZED (")},
+versions AS MATERIALIZED (SELECT 1 AS seq, * FROM exact WHERE first_read_at < TIMESTAMP '1999-01-01'
   UNION ALL SELECT 4 AS seq, * FROM exact WHERE end_b % 13 <> 0
   UNION ALL SELECT 6 AS seq, url, start_b, end_b, sha256, first_read_at,
     CASE WHEN start_b % 900 = 0 THEN 'EXP-Y' ELSE first_read_by END FROM exact),

@@ -442,7 +442,7 @@ def settled(spark, sf):
 
 @query("rehearsal_findings")
 def rehearsal_findings(spark, sf):
-    return rh.rehearse(v.study_tests(spark, sf), REGISTERED, ALL_ARMS, CRITERIA, ASIDE, 200, SEED)["findings"]
+    return rh.rehearse(v.study_tests(spark, sf), REGISTERED, ALL_ARMS, CRITERIA, ASIDE, 1000, SEED)["findings"]
 
 
 @query("rehearsal_summary", v.sql("v_strat", "WITH c AS (" + " UNION ALL ".join(_pop_sql(c) for c in CONTRASTS) + "), r AS ("

@@ -364,7 +364,7 @@ def study_simple(spark, sf):
 
 @query("study_measures")
 def study_measures(spark, sf):
-    return m.measure_arms(cp.study_lag_window(*_study_inputs(spark, sf), VECTOR_STUDY, 99, 7), VECTOR_STUDY)
+    return m.measure_arms(cp.study_lag_window(*_study_inputs(spark, sf), VECTOR_STUDY, SURROGATES, 7), VECTOR_STUDY)
 
 
 @query("dominant_hz")
