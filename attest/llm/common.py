@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,8 @@ from attest.session import shared_folder
 
 #: Words are runs of anything but these bytes.
 SPACE = r"[\x20\x09-\x0D]"
-#: Rows that one Arrow batch carries; texts of some kB make a batch of a few MB.
-BATCH_ROWS = 512
+#: Bytes of text that are worked on at a time in numpy; a larger text is worked on alone.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +35,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Rows per Arrow batch for operators that read whole texts, so that a batch of long texts fits in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value``, computed once per row however often ``body`` refers to it."""
     return F.transform(F.array(value), body)[0]
@@ -87,6 +82,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``SLICE_BYTES`` of the column's text, or of one row."""
+    for batch in batches:
+        _, ends = text_bytes(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def hash_words(column: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
     """64-bit hashes of the lower-cased words of a batch, in order, and the bounds of each text's words.
 

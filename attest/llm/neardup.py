@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import hash_words, mix, small_batches, written
+from attest.llm.common import hash_words, mix, sliced, written
 from attest.operators.coverage import connected_components
 
 WORDS = 5
@@ -74,7 +74,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 1):
         sets = shingle_sets(batch.column(1))
         some = np.array([len(s) > 0 for s in sets], dtype=bool)
         if batch.column(0).null_count:
@@ -90,7 +90,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 1):
         sets = shingle_sets(batch.column(1))
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         held = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64)
@@ -192,7 +192,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is null and it is kept. Rows that share an id are one document with several texts. An empty table gives
     no rows; other columns are not read.
     """
-    small_batches(docs.sparkSession)
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("_text"))
     kind = held.schema["doc_id"].dataType.simpleString()
     sketch = written(held.mapInArrow(_sketch, f"doc_id {kind}, n_shingles long, set_id binary, bands array<long>"),

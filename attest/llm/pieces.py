@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import mix, small_batches, text_bytes
+from attest.llm.common import mix, sliced, text_bytes
 
 VARIANTS = 4
 DROPOUT = 0.1
@@ -303,13 +303,12 @@ def _run(docs: DataFrame, model_file: str, seed: int, dropout: float, id_col: st
         raise ValueError("dropout must be at least 0 and below 1")
     from zlib import crc32
 
-    small_batches(docs.sparkSession, 1024)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model_file))  # as large as the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         decoder = Decoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             pieces, bounds = encode_batch(vocabulary, batch.column(1), seed, dropout)
             small = pieces.astype(np.int32)
             if not digest:

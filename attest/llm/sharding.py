@@ -23,7 +23,7 @@ def _before(by: list, order: list):
 def byte_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row, shards in order of the id.
 
-    ``size`` is the UTF-8 length of the text plus 1 (null: 1, checksum null); rows without an id come first, rows of
+    ``size`` is the UTF-8 length of the text plus 1 (null counts as empty); rows without an id come first, rows of
     one id are in order of size and checksum, and identical rows take neighbouring slots. A text larger than a share
     fills its shard, and shards that it covers stay empty. An empty table gives no rows; other columns are not read.
     """
@@ -32,7 +32,7 @@ def byte_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
     text = F.col(text_col).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"),
                        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-                       F.crc32(text).alias("text_crc32"))
+                       F.crc32(F.coalesce(text, F.lit("").cast("binary"))).alias("text_crc32"))
     # The row's place in the scan only spreads rows that are equal in everything else over several ranges.
     order = ["doc_id", "size", "text_crc32", "_row"]
     ranged = (rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order)

@@ -16,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import small_batches
-
 #: Words whose counts a task keeps, and the longest that it keeps.
 KEPT_WORDS, KEPT_LENGTH = 300_000, 40
 WORD_START = "▁"
@@ -116,7 +114,6 @@ def token_counts(docs: DataFrame, starts: list[str], continuations: list[str], i
     Null, empty and blank texts have no words and no tokens. Repeated rows are counted alike; a null id stays null.
     An empty table gives no rows; other columns are not read.
     """
-    small_batches(docs.sparkSession)
     vocabularies = docs.sparkSession.sparkContext.broadcast((starts, continuations))  # the vocabulary file's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,17 +34,19 @@ def _scaled(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             .groupBy("vec_id").agg(F.min("v").alias("v")))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (vec_id, v) as blocks of equal length: ids and matrix as bytes."""
-    for batch in batches:
-        ids, lists = batch.column(0).to_numpy(), batch.column(1)
-        lengths = pa.compute.list_value_length(lists).to_numpy() if len(lists) else np.zeros(0, dtype=np.int32)
-        for length in np.unique(lengths):
-            rows = np.flatnonzero(lengths == length)
-            flat = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            yield pa.RecordBatch.from_pydict({
-                "dim": pa.array([int(length)], pa.int32()), "ids": pa.array([ids[rows].astype(np.int64).tobytes()]),
-                "matrix": pa.array([flat.tobytes()])})
+def _blocks(block: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of (vec_id, v) as blocks of equal length: ids and matrix as bytes."""
+        for batch in (whole.slice(at, block) for whole in batches for at in range(0, whole.num_rows, block)):
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            lengths = pa.compute.list_value_length(lists).to_numpy()
+            for length in np.unique(lengths):
+                rows = np.flatnonzero(lengths == length)
+                flat = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield pa.RecordBatch.from_pydict({
+                    "dim": pa.array([int(length)], pa.int32()), "ids": pa.array([ids[rows].astype(np.int64).tobytes()]),
+                    "matrix": pa.array([flat.tobytes()])})
+    return pack
 
 
 def _scores(ids: bytes, matrix: bytes, query_ids: bytes, queries: bytes, dim: int):
@@ -144,9 +146,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, id_col: str = "vec_id
         raise ValueError("k and every must be at least 1")
     spark = vectors.sparkSession
     held = written(_scaled(vectors, id_col, vector_col), "vectors")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(block))
     copies = max(1, spark.sparkContext.defaultParallelism)
-    candidates = written(held.mapInArrow(_blocks, "dim int, ids binary, matrix binary")
+    candidates = written(held.mapInArrow(_blocks(block), "dim int, ids binary, matrix binary")
                          .withColumn("copy", F.pmod(F.monotonically_increasing_id(), F.lit(copies)).cast("int")), "blocks")
     queries = held.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
     groups = max(1, -(-queries.count() // block))
