@@ -14,7 +14,6 @@ from attest.operators import rows as rw
 from attest.plans import coverage as pc
 from attest.plans import views as v
 from attest.plans.registry import ORACLES, query
-from attest.session import cut_lineage
 
 
 def _spark(text: str) -> str:
