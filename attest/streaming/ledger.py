@@ -11,6 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from attest.operators.coverage import record_reads, require_seen
 
 
+def _touched(ledger: DataFrame, batch: DataFrame) -> DataFrame:
+    """The ledger's entries on objects that the batch reads; what is swept follows the batch's objects, not the ledger."""
+    return ledger.join(batch.select("url").distinct(), "url", "left_semi").select(*ledger.columns)
+
+
 def _stored(spark: SparkSession, path: str, base: DataFrame, batch: int) -> DataFrame:
     """The ledger before this batch: the base plus what earlier batches appended."""
     jvm = spark.sparkContext._jvm
@@ -31,7 +36,7 @@ def first_reads(reads: DataFrame, base: DataFrame, path: str, checkpoint: str, a
     """
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = _stored(spark, path, base, number)
+        known = _touched(_stored(spark, path, base, number), batch)
         new, refused = record_reads(known.drop("seq"), batch, "seq")
         new.select(*base.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
         refused.select(*base.columns).write.mode("overwrite").parquet(f"{path}_refused/batch={number}")
@@ -44,7 +49,7 @@ def seen_gate(reads: DataFrame, ledger: DataFrame, sink: Callable[[DataFrame, in
               available_now: bool = True) -> StreamingQuery:
     """Gate every micro-batch of reads against a ledger that only grows elsewhere; ``sink`` must be idempotent per batch."""
     def step(batch: DataFrame, number: int) -> None:
-        sink(require_seen(batch, ledger), number)
+        sink(require_seen(batch, _touched(ledger, batch)), number)
 
     writer = reads.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
