@@ -15,7 +15,7 @@ from attest.session import shared_folder
 #: Words are runs of anything but these bytes.
 SPACE = r"[\x20\x09-\x0D]"
 #: Bytes of text that are worked on at a time in numpy; a larger text is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
