@@ -1,12 +1,13 @@
 """License scan: MinHash bands over overlapping text windows retrieve templates, shingle containment verifies them.
 
 Texts and templates are cut into words without punctuation, and their 5-word shingles are hashed. A template of ``m``
-shingles is looked for in windows of ``m + g`` shingles, one every ``g + 1``, with ``g = m // 4``: whatever its place,
-some window holds all of it and little else, so the two sets have a similarity of 4/5 or more. Even if a quarter of
-the template is changed it is above 0.5, and with ``BANDS`` bands of one row such a window collides with the template
-in some band with probability ``1 - 0.5**BANDS``, above 0.999999. A window can only collide where it holds the
-template's least shingle of a band; windows without one are not built, which loses nothing. Every collision is then
-verified: the window must hold ``SHARE`` of the template's shingles. All of it is DataFrame expressions.
+shingles is looked for in every window of ``m + m // 4`` shingles, so words may be changed, left out or inserted. Of
+all windows only those that begin with one of the template's shingles are built: any other can be moved right to the
+first one without losing any. A window that holds ``SHARE`` of the template has a similarity of 0.5 or more, and with
+``BANDS`` bands of one row it collides with the template in some band with probability ``1 - 0.5**BANDS``, above
+0.999999. It can only collide if it holds the template's least shingle of a band; windows without one are dropped,
+which loses nothing. Every collision is then verified: the window must hold ``SHARE`` of the template's shingles. All
+of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -78,26 +79,27 @@ def license_matches(docs: DataFrame, notices: Sequence[tuple[str, str]] = TEMPLA
     """``doc_id, license, template, word, share``: for each text and template that it holds, the fullest window.
 
     ``word`` is the place of the window's first word among the text's words, ``share`` the part of the template's
-    shingles that the window holds; of equal windows the first counts. Notices of fewer than five words are left out.
+    shingles that the window holds. Windows begin with a shingle of the template; of equal ones the first counts. Notices of fewer than five words are left out.
     Null, empty and short texts match nothing. Rows of one id count as one document; rows without an id share a null
     id. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     known = templates(spark, notices)
-    listed = known.select("template", "size", F.col("least.shingle").alias("anchors")).collect()  # as many as notices
+    listed = known.select("size", "shingles", F.col("least.shingle").alias("anchors")).collect()  # as many as notices
     texts = docs.select(F.col(id_col).alias("doc_id"), _shingles_of(F.col(text_col)).alias("_s"))
     every = _literal({h for row in listed for h in row["anchors"]})
     held = written(texts.where(F.arrays_overlap("_s", every)), "held")  # read once per size of template
     least = known.select("template", "license", "shingles", "size", F.posexplode("least.value").alias("_band", "_value"))
     found = None
     for size in sorted({row["size"] for row in listed}):
-        anchors = {h for row in listed if row["size"] == size for h in row["anchors"]}
-        windows = _windows(held, size, anchors).withColumn("_least", _least(F.col("_window")))
+        firsts, anchors = ({h for row in listed if row["size"] == size for h in row[k]} for k in ("shingles", "anchors"))
+        windows = _windows(held, size, firsts, anchors).withColumn("_least", _least(F.col("_window")))
         keyed = windows.select("doc_id", "word", "_window", F.posexplode("_least.value").alias("_band", "_value"))
         # The right side has BANDS rows for each notice, whatever the number of documents.
         met = keyed.join(F.broadcast(least.where(F.col("size") == size)), ["_band", "_value"])
         share = F.size(F.array_intersect("_window", "shingles")) / F.col("size")
-        met = met.withColumn("share", share).where(F.col("share") >= SHARE)
+        begun = F.array_contains("shingles", F.get("_window", 0))
+        met = met.where(begun).withColumn("share", share).where(F.col("share") >= SHARE)
         found = met if found is None else found.unionByName(met)
     best = found.groupBy("doc_id", "license", "template").agg(
         F.max(F.struct("share", (-F.col("word")).alias("back"))).alias("best"))
@@ -108,19 +110,16 @@ def _literal(hashes: set[int]) -> Column:
     return F.array(*[F.lit(h).cast("long") for h in sorted(hashes)]).cast("array<bigint>")
 
 
-def _windows(held: DataFrame, size: int, anchors: set[int]) -> DataFrame:
-    """Windows for templates of ``size`` shingles that hold one of ``anchors``: ``doc_id, word, _window``."""
-    spare = size // 4
-    step, width = spare + 1, size + spare
-    wanted = _literal(anchors)
+def _windows(held: DataFrame, size: int, firsts: set[int], anchors: set[int]) -> DataFrame:
+    """Windows for templates of ``size`` shingles that begin with one of ``firsts`` and hold one of ``anchors``:
+    ``doc_id, word, _window``."""
+    first, wanted = _literal(firsts), _literal(anchors)
 
     def starts(s: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.array_contains(wanted, F.get(s, i)))
-        around = F.transform(places, lambda p: F.sequence(
-            F.greatest(F.lit(0), F.ceil((p - width + 1) / F.lit(step)).cast("int")), F.floor(p / F.lit(step)).cast("int")))
-        return F.array_distinct(F.flatten(around))
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.array_contains(first, F.get(s, i)))
 
     some = held.where(F.arrays_overlap("_s", wanted))
     return (some.select("doc_id", "_s", F.explode(let(F.col("_s"), starts)).alias("_k"))
-            .select("doc_id", (F.col("_k") * step).cast("long").alias("word"),
-                    F.slice("_s", F.col("_k") * step + 1, F.lit(width)).alias("_window")))
+            .select("doc_id", F.col("_k").cast("long").alias("word"),
+                    F.slice("_s", F.col("_k") + 1, F.lit(size + size // 4)).alias("_window"))
+            .where(F.arrays_overlap("_window", wanted)))

@@ -111,6 +111,31 @@ def test_every_template_is_found_at_every_place(spark):
     assert got >= {(n * 100 + k, n) for n in range(len(licenses.TEMPLATES)) for k in range(1, 14)}
 
 
+def fullest(text, notice):
+    """The largest share of the notice's shingles in a window of the text, by trying every window."""
+    def shingles(text):
+        w = re.sub(r"[\x20\x09-\x0D.,;:!?()\[\]\"'*#>|/]+", " ", text.lower()).split()
+        return [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    held, want = shingles(text), set(shingles(notice))
+    width = len(want) + len(want) // 4
+    return max((len(want & set(held[i:i + width])) / len(want) for i in range(len(held))), default=0)
+
+
+def test_notices_with_inserted_words_at_every_place(spark):
+    rows, want = [], {}
+    for n in (1, 5, 8):  # the long notices
+        notice = licenses.TEMPLATES[n][1].split()
+        for more in range(6):
+            for before in range(7):
+                doc, half = n * 100 + more * 10 + before, len(notice) // 2
+                text = " ".join([sentence(before, 60 + doc), *notice[:half], *["--"] * more, *notice[half:], sentence(40, doc)])
+                rows.append((doc, text, None))
+                if (share := fullest(text, licenses.TEMPLATES[n][1])) >= licenses.SHARE:
+                    want[doc, n] = round(share, 6)
+    got = {(r.doc_id, r.template): round(r.share, 6) for r in licenses.license_matches(edge_table(spark, rows)).collect()}
+    assert got == want and len(want) >= 3 * 5 * 7
+
+
 # ---- URLs
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/")]
