@@ -3,12 +3,12 @@
 A text is cut before each run of blanks; such chunks are independent, because no piece of the vocabulary has a blank
 after another letter. A chunk starts as letters. Its agenda holds every pair of neighbours that forms a piece; the
 best one (highest score, then leftmost) is taken off again and again and merged, and the new neighbours' pairs join
-the agenda. With dropout, a candidate taken off the agenda is skipped if a hash of (seed, chunk, variant, place,
-piece), keyed by the seed, falls below the rate. Each occurrence of a chunk in a document has one of ``VARIANTS``
-variants, so a text is cut in varied ways, always the same ones for the same seed.
+the agenda. With dropout, a candidate taken off the agenda is skipped if a hash of (seed, document, number of the chunk
+in the document, place, piece), keyed by the seed, falls below the rate. So each occurrence of a chunk is cut by
+itself, in ways as varied as the merges allow, always the same ones for the same seed.
 
-All distinct (chunk, variant) of a batch are processed side by side: a step takes the best candidate off every chunk's
-agenda. Long chunks, which are few, are processed alone with a heap.
+Many chunks of a batch are processed side by side: a step takes the best candidate off every chunk's agenda. Long
+chunks, which are few, are processed alone with a heap. Only without dropout are equal chunks cut once.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from attest.llm.common import mix, sliced, text_bytes
 
-VARIANTS = 4
 DROPOUT = 0.1
 #: Longest chunk that is processed side by side with others.
 MATRIX = 24
+#: Chunks that are processed side by side at a time.
+BLOCK = 1 << 14
 BLANK = 0x2581
 #: Stands for a written U+2581, which the vocabulary takes for a blank; it is encoded as bytes, so nothing is lost.
 WRITTEN_BLANK = 0x110000
@@ -192,8 +193,12 @@ def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate([[0], np.cumsum([len(t) + 1 if t else 0 for t in texts])])
 
 
-def encode_batch(vocabulary: Vocabulary, column: pa.Array, seed: int = 0, rate: float = DROPOUT):
-    """Piece ids of all texts of a batch on end, and the bounds of each text."""
+def encode_batch(vocabulary: Vocabulary, column: pa.Array, seed: int = 0, rate: float = DROPOUT,
+                 documents: np.ndarray | None = None):
+    """Piece ids of all texts of a batch on end, and the bounds of each text.
+
+    ``documents`` has a 64-bit hash for each text, on which its dropout depends; without it all texts have the same.
+    """
     points, bounds = _points(column)
     if not len(points):
         return np.zeros(0, dtype=np.int64), bounds
@@ -204,33 +209,34 @@ def encode_batch(vocabulary: Vocabulary, column: pa.Array, seed: int = 0, rate:
     starts = np.flatnonzero(first)
     lengths = np.diff(np.append(starts, len(points)))
     ids = vocabulary.ids(points)
-    # A chunk's hash: its letters, each mixed with its place.
-    place = np.arange(len(points)) - np.repeat(starts, lengths)
-    hashes = np.add.reduceat(mix(points.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + place.astype(np.uint64)), starts)
-    variants = np.arange(len(starts)) - np.searchsorted(starts, bounds)[
-        np.searchsorted(bounds, starts, side="right") - 1]
     if rate > 0:
-        key = mix(hashes + mix(np.array([2 * seed + 1], dtype=np.uint64))
-                  + (variants % VARIANTS).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        text = np.searchsorted(bounds, starts, side="right") - 1
+        number = np.arange(len(starts)) - np.searchsorted(starts, bounds)[text]
+        own = np.zeros(len(bounds) - 1, dtype=np.uint64) if documents is None else documents
+        own = mix(own + mix(np.array([2 * seed + 1], dtype=np.uint64)))
+        key = mix(own[text] + number.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        sample = which = np.arange(len(starts))
     else:
-        key = mix(hashes)
-    _, sample, which = np.unique(key, return_index=True, return_inverse=True)
+        # A chunk's hash: its letters, each mixed with its place.
+        place = np.arange(len(points)) - np.repeat(starts, lengths)
+        key = mix(np.add.reduceat(
+            mix(points.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + place.astype(np.uint64)), starts))
+        _, sample, which = np.unique(key, return_index=True, return_inverse=True)
     found_length = np.zeros(len(sample), dtype=np.int64)
     long_rows, parts = {}, []
     offsets = np.zeros(len(sample), dtype=np.int64)
     total = 0
     for low, high in ((0, 6), (6, 9), (9, 12), (12, MATRIX)):
-        rows = np.flatnonzero((lengths[sample] > low) & (lengths[sample] <= high))
-        if not len(rows):
-            continue
-        at, n = starts[sample[rows]], lengths[sample[rows]]
-        columns = np.arange(high)
-        matrix = np.where(columns[None, :] < n[:, None], ids[np.minimum(at[:, None] + columns, len(ids) - 1)], NONE)
-        cut, count = _side_by_side(vocabulary, matrix, n, key[sample[rows]], rate)
-        offsets[rows] = total + np.cumsum(count) - count
-        found_length[rows] = count
-        parts.append(cut[np.arange(cut.shape[1])[None, :] < count[:, None]])
-        total += count.sum()
+        every = np.flatnonzero((lengths[sample] > low) & (lengths[sample] <= high))
+        for rows in (every[i:i + BLOCK] for i in range(0, len(every), BLOCK)):
+            at, n = starts[sample[rows]], lengths[sample[rows]]
+            columns = np.arange(high)
+            matrix = np.where(columns[None, :] < n[:, None], ids[np.minimum(at[:, None] + columns, len(ids) - 1)], NONE)
+            cut, count = _side_by_side(vocabulary, matrix, n, key[sample[rows]], rate)
+            offsets[rows] = total + np.cumsum(count) - count
+            found_length[rows] = count
+            parts.append(cut[np.arange(cut.shape[1])[None, :] < count[:, None]])
+            total += count.sum()
     for row in np.flatnonzero(lengths[sample] > MATRIX).tolist():
         at = starts[sample[row]]
         cut = _alone(vocabulary, ids[at:at + lengths[sample[row]]], key[sample[row]][None], rate)
@@ -285,8 +291,8 @@ def encode(docs: DataFrame, model_file: str, seed: int = 0, dropout: float = DRO
            text_col: str = "text") -> DataFrame:
     """``doc_id, pieces`` for every row: the ids of a varied segmentation, the plain one without ``dropout``.
 
-    Null, empty texts have no pieces. Repeated rows are cut alike; a null id stays null. An empty table gives no rows;
-    other columns are not read.
+    Null, empty texts have no pieces. Rows of the same id and text are cut alike, all others each in its own way; a null
+    id stays null. An empty table gives no rows; other columns are not read.
     """
     return _run(docs, model_file, seed, dropout, id_col, text_col, digest=False)
 
@@ -309,7 +315,8 @@ def _run(docs: DataFrame, model_file: str, seed: int, dropout: float, id_col: st
         vocabulary = shared.value
         decoder = Decoder(vocabulary)
         for batch in sliced(batches, 1):
-            pieces, bounds = encode_batch(vocabulary, batch.column(1), seed, dropout)
+            documents = batch.column(2).to_numpy().view(np.uint64)
+            pieces, bounds = encode_batch(vocabulary, batch.column(1), seed, dropout, documents)
             small = pieces.astype(np.int32)
             if not digest:
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(small))
@@ -324,7 +331,8 @@ def _run(docs: DataFrame, model_file: str, seed: int, dropout: float, id_col: st
                 [batch.column(0), pa.array(np.diff(bounds)), pa.array(checks, pa.int64()), pa.array(same, pa.bool_())],
                 ["doc_id", "n_pieces", "pieces_crc32", "lossless"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), F.xxhash64(id_col, text).alias("_document"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, " + (
         "n_pieces long, pieces_crc32 long, lossless boolean" if digest else "pieces array<int>"))

@@ -229,6 +229,25 @@ def test_long_chunks_are_cut_like_short_ones(monkeypatch):
         assert beside.tolist() == alone.tolist()
 
 
+@needs_model
+def test_every_occurrence_of_a_word_is_cut_by_itself(spark):
+    texts_of = pieces.Vocabulary.read(MODEL).texts
+    word = "internationalisation"
+    rows = [(0, f"{word} " * 300, None), (1, word, None), (1, word, None)]
+    rows += [(i, word, None) for i in range(2, 300)] + [(i, f"{word} of {word} {i}", None) for i in range(300, 600)]
+    got = collections.defaultdict(list)
+    for r in pieces.encode(edge_table(spark, rows), MODEL, seed=1, dropout=0.3).collect():
+        words = []
+        for piece in r.pieces:
+            words.append([]) if texts_of[piece].startswith(b" ") or not words else None
+            words[-1].append(piece)
+        got[r.doc_id].append(tuple(map(tuple, words)))
+    assert len(set(got[0][0])) > 20  # within a text
+    assert len({got[i][0] for i in range(1, 300)}) > 20  # over texts of nothing else
+    assert len({got[i][0][:3] for i in range(300, 600)}) > 100  # texts that agree in their first words
+    assert got[1][0] == got[1][1]
+
+
 # ---- token counts
 
 
