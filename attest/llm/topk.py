@@ -133,6 +133,12 @@ def _query_blocks(queries: DataFrame, block: int, groups: int, copies: int) -> D
     return blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
 
+def _dealt(held: DataFrame, block: int, copies: int) -> DataFrame:
+    """Blocks of candidates, each for one copy of the queries: by a hash of the block's ids, wherever it was made."""
+    return (held.mapInArrow(_blocks(block), "dim int, ids binary, matrix binary")
+            .withColumn("copy", F.pmod(F.xxhash64("ids"), F.lit(copies)).cast("int")))
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding",
           block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` highest integer inner products of each query, ties to smaller ids.
@@ -147,8 +153,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, id_col: str = "vec_id
     spark = vectors.sparkSession
     held = written(_scaled(vectors, id_col, vector_col), "vectors")
     copies = max(1, spark.sparkContext.defaultParallelism)
-    candidates = written(held.mapInArrow(_blocks(block), "dim int, ids binary, matrix binary")
-                         .withColumn("copy", F.pmod(F.monotonically_increasing_id(), F.lit(copies)).cast("int")), "blocks")
+    candidates = written(_dealt(held, block, copies), "blocks")
     queries = held.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
     groups = max(1, -(-queries.count() // block))
 

@@ -309,6 +309,12 @@ def test_top_k(spark):
     assert topk.top_k(docs.limit(0)).collect() == []
 
 
+def test_candidate_blocks_are_dealt_over_all_copies(spark):
+    held = spark.range(0, 64, 1, 64).selectExpr("id AS vec_id", "array(id, id + 1) AS v")  # a block in each partition
+    dealt = collections.Counter(r.copy for r in topk._dealt(held, 64, 8).select("copy").collect())
+    assert sum(dealt.values()) == 64 and set(dealt) == set(range(8)) and max(dealt.values()) < 24
+
+
 # ---- shards
 
 
