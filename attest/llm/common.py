@@ -22,17 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, and a lost executor costs nothing.
-
-    The files go when the session's JVM ends.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder; what is written there goes when the session's JVM ends."""
     folder = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts the lineage, and a lost executor costs nothing."""
+    folder = scratch(df.sparkSession, label)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -82,28 +84,31 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``SLICE_BYTES`` of the column's text, or of one row."""
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of the column's text, or of one row."""
     for batch in batches:
         _, ends = text_bytes(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1)
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
             yield batch.slice(at, stop - at)
             at = stop
 
 
-def hash_words(column: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
+def hash_words(column: pa.Array, prefixes: tuple[int, ...] = (),
+               separators: np.ndarray = _IS_SPACE) -> tuple[list[np.ndarray], np.ndarray]:
     """64-bit hashes of the lower-cased words of a batch, in order, and the bounds of each text's words.
 
-    ``prefixes`` adds one array per length: hashes of the words' first so many bytes.
+    ``prefixes`` adds one array per length: hashes of the words' first so many bytes. ``separators`` says which bytes
+    belong to no word.
     Bytes are summed from a table indexed by position, so equal words hash alike wherever they stand.
     """
     data, offsets = text_bytes(column)
     if not len(data):
         return [np.zeros(0, dtype=np.uint64) for _ in range(1 + len(prefixes))], np.zeros(len(offsets), dtype=np.int64)
     data = _LOWER[data]
-    inside = ~_IS_SPACE[data]
+    blank = separators[data]
+    inside = ~blank
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = offsets[:-1][offsets[:-1] < len(data)]
@@ -114,6 +119,8 @@ def hash_words(column: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple[list[n
         return [np.zeros(0, dtype=np.uint64) for _ in range(1 + len(prefixes))], bounds
     place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
     values = _TABLE[place & (_POSITIONS - 1), data[starts[0]:]]
+    if separators is not _IS_SPACE:
+        values[blank[starts[0]:]] = 0
     at = starts - starts[0]
     out = [mix(np.add.reduceat(values, at))]
     for n in prefixes:
