@@ -128,8 +128,8 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The URLs that a rule covers are the labelled ones; the trees trained on them judge the rest."""
     pages = table(spark, sf_dir, "pages")
-    ruled = urls.rule_for(URL_RULES, urls.host_of(F.col("url")), urls.path_of(F.col("url")))["verdict"]
-    return urls.judge(pages, URL_RULES, urls.fit(pages, (ruled == "block").cast("int")))
+    found = urls.rule_for(URL_RULES, urls.host_of(F.col("url")), urls.path_of(F.col("url")))
+    return urls.judge(pages, URL_RULES, urls.fit(pages, (found["verdict"] == "block").cast("int"), found["rule"]))
 
 
 @query("op6_quality_rules")

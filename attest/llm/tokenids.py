@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -157,11 +158,14 @@ class Tokens(dict):
     """Chunk -> the bytes of its ids, by the tokenizers library at first sight; when full, forgets what was not used of late.
 
     A byte-level tokenizer ends a piece before every blank that follows something else than white space, so texts are
-    cut there and each chunk is encoded by itself. With any other kind of tokenizer a text is one chunk.
+    cut there and each chunk is encoded by itself. A blank and ASCII letters are one piece, which goes to the library's
+    model at once, and one mark behind them is a piece of its own. With any other kind of tokenizer a text is one chunk.
     """
 
     _cut = re.compile(r"(?<=\S)(?= )")
     _rare = re.compile(r"\s ")
+    _marked = re.compile(r"( [A-Za-z]+)([.,;:!?])").fullmatch
+    _word = re.compile(r" [A-Za-z]+").fullmatch
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -173,12 +177,19 @@ class Tokens(dict):
         before = held.get("pre_tokenizer") or {}
         self.cuts = (before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
                      and before.get("use_regex", True) and not held.get("normalizer")
-                     and not any(x.get("lstrip") or x.get("rstrip") or " " in x["content"] for x in held.get("added_tokens") or []))
+                     and not any(x.get("lstrip") or x.get("rstrip") or " " in x["content"] or x["content"].isalpha()
+                                 or x["content"] in ".,;:!?" for x in held.get("added_tokens") or []))
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
-            ids = np.array(self.library.encode(chunk, add_special_tokens=False).ids, dtype=_ID).tobytes()
+            if self.cuts and (marked := self._marked(chunk)):
+                return self[marked[1]] + self[marked[2]]
+            if self.cuts and self._word(chunk):
+                found = [x.id for x in self.library.model.tokenize("\u0120" + chunk[1:])]  # how such models write a blank
+            else:
+                found = self.library.encode(chunk, add_special_tokens=False).ids
+            ids = np.array(found, dtype=_ID).tobytes()
         if len(chunk) <= KEPT_LENGTH:
             if len(self) >= KEPT_CHUNKS // 2:
                 self.older = dict(self)
@@ -370,17 +381,20 @@ def read_ids(spark: SparkSession, folder: str, parts: int = 1, first: int | None
 
 def digests(spark: SparkSession, folder: str, parts: int = 1) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files; pieces are put together by checksum."""
+    pieces = written(read_ids(spark, folder, parts, digest=True), "pieces")
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    whole = pieces.where("n = n_tokens").withColumnRenamed("crc", "ids_crc32").select(columns)
+    # A position belongs to one document; its pieces are as many as the blocks that it fills.
+    cut = pieces.where("n < n_tokens").groupBy("start").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.sum("n").alias("_n"),
+        F.sort_array(F.collect_list(F.struct("offset", "n", "crc"))).alias("_all"))
+
     @F.pandas_udf("long")
-    def whole(pieces):
-        return pieces.map(lambda rows: joined_crc([(r["crc"], 4 * r["n"]) for r in rows]))
+    def joined(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: joined_crc([(r["crc"], 4 * r["n"]) for r in row]))
 
-    # A position belongs to one document; its pieces are as many as the blocks that it fills.
-    pieces = read_ids(spark, folder, parts, digest=True).groupBy("start").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.max("crc").alias("_crc"),
-        F.count(F.lit(1)).alias("_pieces"), F.sum("n").alias("_n"), F.sort_array(F.collect_list(F.struct("offset", "n", "crc"))).alias("_all"))
-    complete = F.when(F.col("_n") != F.col("n_tokens"), F.raise_error(F.lit("a piece of a document is missing")))
-    return pieces.select("doc_id", "start", "n_tokens", F.coalesce(
-        complete, F.when(F.col("_pieces") == 1, F.col("_crc")), whole("_all")).cast("long").alias("ids_crc32"))
+    missing = F.when(F.col("_n") != F.col("n_tokens"), F.raise_error(F.lit("a piece of a document is missing"))).cast("long")
+    return whole.unionByName(cut.withColumn("ids_crc32", F.coalesce(missing, joined("_all"))).select(columns))
 
 
 def round_trip(docs: DataFrame, definition: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,13 +1,14 @@
 """URL filter: allow and block rules, and gradient-boosted trees on lexical features for what no rule covers.
 
-Host, path and rules are DataFrame expressions. The trees are trained on the driver from a bounded sample of labelled
-URLs (logistic loss, histogram splits in numpy) and score batches of URLs inside tasks.
+Host, path, rules and lexical features are DataFrame expressions. The trees are trained on the driver from a bounded
+sample of labelled URLs (logistic loss, histogram splits in numpy) and score batches of URLs inside tasks. Where rules
+made the labels, a row's suffix statistics come from the other rules' rows only, and so does the threshold: the trees have
+to judge hosts that no rule covers.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -20,6 +21,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Labelled URLs that the trees are trained on.
 SAMPLE = 20_000
 TREES, DEPTH, RATE, CUTS, SMOOTH = 60, 3, 0.2, 32, 8.0
+#: Parts of the groups that are held out in turn for the threshold.
+FOLDS = 5
 
 
 def host_of(url: Column) -> Column:
@@ -52,26 +55,39 @@ def rule_for(rules: Sequence[tuple[str, str]], host: Column, path: Column) -> Co
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _entropy(text: str) -> float:
-    n = len(text)
-    return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
+def _entropy(text: Column) -> Column:
+    """Bits of a character of the text; 0 for an empty one."""
+    n = F.length(text)
+    letters = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(1))))
+    def times(letter: Column) -> Column:
+        return (n - F.length(F.replace(text, letter, F.lit("")))).cast("double")
+    return F.when(n > 0, F.log2(n) - F.aggregate(letters, F.lit(0.0), lambda sum_, x: sum_ + times(x) * F.log2(times(x))) / n).otherwise(0.0)
 
 
-def lexical(url: str | None, host: str, path: str) -> list[float]:
-    """Length, depth, digit ratio, entropy and counts; zeros for a null or empty URL."""
-    url = url or ""
-    query = url.partition("#")[0].partition("?")[2]
-    labels = host.split(".")
-    return [len(url), len(host), len(path), sum(1 for part in path.split("/") if part),
-            sum(c.isdigit() for c in url) / max(1, len(url)), sum(c.isdigit() for c in host), _entropy(url),
-            _entropy(host), len([p for p in query.split("&") if p]), len(labels), max(map(len, labels)),
-            host.count("-"), path.count("."), "#" in url]
+LEXICAL = ["length", "host_length", "path_length", "depth", "digit_ratio", "host_digits", "entropy", "host_entropy", "parameters",
+           "labels", "longest_label", "hyphens", "path_dots", "fragment"]
 
 
-def suffixes(host: str, path: str) -> list[str]:
-    """What block rates are kept for: the host's last one and two labels, and the path's first part under the last."""
-    labels = host.split(".")
-    return ["1:" + labels[-1], "2:" + ".".join(labels[-2:]), "p:" + labels[-1] + "/" + path.strip("/").partition("/")[0]]
+def lexical(url: Column, host: Column, path: Column) -> Column:
+    """Length, depth, digit ratio, entropy and counts, as an array in the order of ``LEXICAL``."""
+    def count(text: Column, kept: str) -> Column:
+        return F.length(F.regexp_replace(text, f"[^{kept}]", ""))
+    def parts(text: Column, by: str) -> Column:
+        return F.size(F.filter(F.split(text, by), lambda x: x != ""))
+    labels = F.split(host, r"\.")
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    values = [F.length(url), F.length(host), F.length(path), parts(path, "/"), count(url, "0-9") / F.greatest(F.lit(1), F.length(url)),
+              count(host, "0-9"), _entropy(url), _entropy(host), parts(query, "&"), F.size(labels),
+              F.array_max(F.transform(labels, F.length)), count(host, "-"), count(path, "."), F.instr(url, "#") > 0]
+    return F.array(*[v.cast("double") for v in values])
+
+
+def suffixes(host: Column) -> Column:
+    """What block rates are kept for: the host's last one, two and three labels."""
+    return F.array(*[F.concat(F.lit(f"{k}:"), F.substring_index(host, ".", -k)) for k in (1, 2, 3)])
+
+
+FEATURES = len(LEXICAL) + 3
 
 
 @dataclass
@@ -82,23 +98,23 @@ class Trees:
     rates: dict[str, tuple[int, int]] = field(default_factory=dict)
     base: float = 0.0
     trees: list[list[tuple[int, float, float]]] = field(default_factory=list)  # heap order: (feature or -1, cut, value)
+    threshold: float = 0.5
 
-    def features(self, rows: list[tuple[str | None, str, str]]) -> np.ndarray:
-        out = np.empty((len(rows), 17))
-        for i, row in enumerate(rows):
-            values = lexical(*row)
-            for key in suffixes(*row[1:]):
-                hits, n = self.rates.get(key, (0, 0))
-                values.append((hits + SMOOTH * self.base) / (n + SMOOTH))
-            out[i] = values
-        return out
+    def features(self, words: np.ndarray, keys: list[Sequence[str]], without: list[dict] | None = None) -> np.ndarray:
+        """Lexical features with the block rate of each suffix; a suffix that was not seen has the base rate.
 
-    def count(self, rows: list[tuple[str | None, str, str]], blocked: list[int]) -> None:
-        """Keep the suffix statistics of labelled rows."""
-        for row, label in zip(rows, blocked):
-            for key in suffixes(*row[1:]):
+        ``without`` gives the statistics that a row must not see, those of its own group.
+        """
+        out = np.empty((len(keys), FEATURES))
+        out[:, :len(LEXICAL)] = words
+        for i, own in enumerate(keys):
+            for j, key in enumerate(own):
                 hits, n = self.rates.get(key, (0, 0))
-                self.rates[key] = (hits + label, n + 1)
+                if without is not None:
+                    less = without[i].get(key, (0, 0))
+                    hits, n = hits - less[0], n - less[1]
+                out[i, len(LEXICAL) + j] = (hits + SMOOTH * self.base) / (n + SMOOTH)
+        return out
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.prior)
@@ -112,8 +128,17 @@ class Trees:
             total += RATE * values[at]
         return total
 
-    def scores(self, rows: list[tuple[str | None, str, str]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.margin(self.features(rows)))) if rows else np.zeros(0)
+    def scores(self, words: np.ndarray, keys: list[Sequence[str]]) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.margin(self.features(words, keys)))) if len(keys) else np.zeros(0)
+
+
+def _counted(keys: list[Sequence[str]], blocked: np.ndarray) -> dict[str, tuple[int, int]]:
+    out: dict[str, tuple[int, int]] = {}
+    for own, label in zip(keys, blocked.tolist()):
+        for key in own:
+            hits, n = out.get(key, (0, 0))
+            out[key] = hits + label, n + 1
+    return out
 
 
 def _tree(x: np.ndarray, binned: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray):
@@ -145,24 +170,19 @@ def _tree(x: np.ndarray, binned: np.ndarray, cuts: list[np.ndarray], g: np.ndarr
     return nodes
 
 
-def train(rows: list[tuple[str | None, str, str]], blocked: list[int]) -> Trees:
-    """Fit to (url, host, path) rows and 0/1 labels; with fewer than two classes the verdict is the class there is."""
+def _boosted(words: np.ndarray, keys: list[Sequence[str]], y: np.ndarray, groups: np.ndarray) -> Trees:
+    """A row's statistics leave out its own group, so they cannot spell out the label that its group shares."""
     model = Trees()
-    if not rows:
+    if not len(y):
         return model
-    y = np.array(blocked, dtype=np.float64)
     model.base = float(y.mean())
     if model.base in (0.0, 1.0):
         model.prior = 8.0 if model.base else -8.0
         return model
     model.prior = math.log(model.base / (1 - model.base))
-    # Each half of the rows sees the other half's statistics, so that no row's features hold its own label.
-    x = np.empty((len(rows), 17))
-    for half in (0, 1):
-        other = Trees(base=model.base)
-        other.count(rows[1 - half::2], blocked[1 - half::2])
-        x[half::2] = other.features(rows[half::2])
-    model.count(rows, blocked)
+    model.rates = _counted(keys, y)
+    own = {g: _counted([keys[i] for i in np.flatnonzero(groups == g)], y[groups == g]) for g in np.unique(groups)}
+    x = model.features(words, keys, [own[g] for g in groups])
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, CUTS + 1)[1:-1], method="lower")) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
     margin = np.full(len(x), model.prior)
@@ -174,38 +194,87 @@ def train(rows: list[tuple[str | None, str, str]], blocked: list[int]) -> Trees:
     return model
 
 
-def fit(urls: DataFrame, labels: Column, id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE) -> Trees:
+def _best_cut(scores: np.ndarray, y: np.ndarray) -> float:
+    """The cut with the highest mean of both classes' shares that fall right; 0.5 if there is one class only."""
+    if not len(y) or y.all() or not y.any():
+        return 0.5
+    order = np.argsort(scores, kind="stable")
+    s, label = scores[order], y[order]
+    right = (np.append(0, np.cumsum(label == 0)) / (y == 0).sum() + np.append(label.sum(), label.sum() - np.cumsum(label)) / y.sum()) / 2
+    edges = np.concatenate([[s[0] - 1e-9], (s[1:] + s[:-1]) / 2, [s[-1] + 1e-9]])
+    right[1:-1][s[1:] == s[:-1]] = -1  # equal scores are not parted
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    return float(edges[best[np.argmin(np.abs(edges[best] - 0.5))]])
+
+
+def train(words: np.ndarray, keys: list[Sequence[str]], blocked: Sequence[int], groups: Sequence[object] | None = None) -> Trees:
+    """Fit to lexical features, suffixes and 0/1 labels; with fewer than two classes the verdict is the class there is.
+
+    ``groups`` says which rows share what made their label (a rule); without it rows are halved. Statistics and the
+    threshold come from other groups: the threshold is the best cut of scores that were given by trees which had never seen the row's
+    group, over at most ``FOLDS`` parts of the groups.
+    """
+    y = np.array(blocked, dtype=np.int64)
+    words = np.asarray(words, dtype=np.float64).reshape(len(y), -1)
+    names = {g: i for i, g in enumerate(sorted(set(map(str, groups))))} if groups is not None else {}
+    group = np.array([names[str(g)] for g in groups], dtype=np.int64) if groups is not None else np.arange(len(y)) % 2
+    model = _boosted(words, keys, y, group)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for fold in range(FOLDS):
+        out = group % FOLDS == fold
+        if out.any() and model.trees and 0 < y[~out].sum() < (~out).sum():
+            other = _boosted(words[~out], [k for k, o in zip(keys, out) if not o], y[~out], group[~out])
+            held.append((other.scores(words[out], [k for k, o in zip(keys, out) if o]), y[out]))
+    if held:
+        model.threshold = _best_cut(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+    return model
+
+
+def _described(urls: DataFrame, url_col: str, *kept: Column) -> DataFrame:
+    url = F.col(url_col).cast("string")
+    return urls.select(*kept, F.coalesce(url, F.lit("")).alias("url"), F.coalesce(host_of(url), F.lit("")).alias("host"),
+                       F.coalesce(path_of(url), F.lit("")).alias("path"))
+
+
+def fit(urls: DataFrame, labels: Column, groups: Column | None = None, id_col: str = "page_id", url_col: str = "url",
+        sample: int = SAMPLE) -> Trees:
     """Train on ``sample`` rows whose ``labels`` (1: block) isn't null, the first in order of a hash of the id."""
-    rows = (urls.select(F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"),
-                        path_of(F.col(url_col)).alias("path"), labels.cast("int").alias("label"),
-                        F.xxhash64(id_col, url_col).alias("turn"))
-            .where("label is not null").orderBy("turn", "url").limit(sample).collect())
-    return train([(r["url"], r["host"], r["path"]) for r in rows], [r["label"] for r in rows])
+    rows = (_described(urls, url_col, labels.cast("int").alias("label"), (F.lit(None) if groups is None else groups).cast("string").alias("grp"),
+                       F.xxhash64(id_col, url_col).alias("turn"))
+            .where("label is not null").orderBy("turn", "url").limit(sample)
+            .select("label", "grp", lexical(F.col("url"), F.col("host"), F.col("path")).alias("words"), suffixes(F.col("host")).alias("keys"))
+            .collect())
+    return train(np.array([r["words"] for r in rows]), [r["keys"] for r in rows], [r["label"] for r in rows],
+                 None if groups is None else [r["grp"] for r in rows])
 
 
 def judge(urls: DataFrame, rules: Sequence[tuple[str, str]], model: Trees, id_col: str = "page_id",
           url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` for every row; the rule's verdict, else the trees'.
 
-    A null URL or one without ``://`` has an empty host and path, fits no rule, and gets the trees' verdict for an
-    empty URL. Repeated rows are judged alike. An empty table gives no rows; other columns are not read.
+    Only rows without a rule are scored; the others' score is null. A null URL or one without ``://`` has an empty host and
+    path, fits no rule, and gets the trees' verdict for an empty URL. Repeated rows are judged alike. An empty table gives
+    no rows; other columns are not read.
     """
-    url = F.col("url")
-    found = rule_for(rules, F.col("host"), F.col("path"))
-    rows = (urls.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
-            .withColumns({"host": F.coalesce(host_of(url), F.lit("")), "path": F.coalesce(path_of(url), F.lit(""))})
-            .withColumn("_rule", found))
-    rows = rows.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"),
-                       F.col("_rule.verdict").alias("ruled"))
+    url, host, path = F.col("url"), F.col("host"), F.col("path")
+    rows = _described(urls, url_col, F.col(id_col).alias("page_id")).withColumn("_rule", rule_for(rules, host, path))
+    rows = rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("ruled"),
+                       F.when(F.col("_rule").isNull(), lexical(url, host, path)).alias("words"),
+                       F.when(F.col("_rule").isNull(), suffixes(host)).alias("keys"))
+    shared = urls.sparkSession.sparkContext.broadcast(model)  # trees, and the suffixes of the sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = list(zip(*(batch.column(name).to_pylist() for name in ("url", "host", "path"))))
+            asked = pa.compute.is_valid(batch.column("words"))
+            words, keys = batch.column("words").filter(asked), batch.column("keys").filter(asked)
+            found = shared.value.scores(words.flatten().to_numpy(zero_copy_only=False).reshape(len(words), -1), keys.to_pylist())
+            scores = np.full(batch.num_rows, np.nan)
+            scores[asked.to_numpy(zero_copy_only=False)] = found
             yield pa.RecordBatch.from_arrays(
-                [batch.column(name) for name in ("page_id", "host", "path", "rule", "ruled")]
-                + [pa.array(model.scores(held), pa.float64())], ["page_id", "host", "path", "rule", "ruled", "score"])
+                [*(batch.column(name) for name in ("page_id", "host", "path", "rule", "ruled")),
+                 pa.array(scores, mask=~asked.to_numpy(zero_copy_only=False))], ["page_id", "host", "path", "rule", "ruled", "score"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
     scored = rows.mapInArrow(score, f"page_id {kind}, host string, path string, rule string, ruled string, score double")
-    learned = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
+    learned = F.when(F.col("score") >= model.threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "score")

@@ -1,6 +1,7 @@
 """Packing, licenses, URLs, pieces, token counts, top-k and shards against brute force."""
 
 import collections
+import math
 import random
 import re
 import sys
@@ -161,31 +162,110 @@ def test_url_rules_and_trees(spark):
              "http://host?x/en/", "http://x.net/ES/1", "http://examplexcom/en/"]
     docs = spark.createDataFrame([(i, u, "p", "v", 1.0) for i, u in enumerate(given)] + [(None, given[4], "p", "v", 1.0)] * 2,
                                  "page_id long, url string, path string, verdict string, score double")
-    got = urls.judge(docs, RULES, urls.train([], [])).collect()
+    got = urls.judge(docs, RULES, urls.train([], [], [])).collect()
     assert len(got) == len(given) + 2
     for r in got:
         host, path = parts(given[r.page_id] if r.page_id is not None else given[4])
         rule, verdict = ruled(host, path)
         assert (r.host, r.path, r["rule"], r.verdict) == (host, path, rule, verdict or "allow")
-    assert urls.judge(docs.limit(0), RULES, urls.train([], [])).collect() == []
+    assert urls.judge(docs.limit(0), RULES, urls.train([], [], [])).collect() == []
+
+
+def plain_words(url, host, path):
+    """The lexical features one by one."""
+    def entropy(text):
+        return -sum(c / len(text) * math.log2(c / len(text)) for c in collections.Counter(text).values()) if text else 0.0
+
+    def digits(text):
+        return sum(c in "0123456789" for c in text)
+    labels, query = host.split("."), url.partition("#")[0].partition("?")[2]
+    return [len(url), len(host), len(path), sum(1 for x in path.split("/") if x), digits(url) / max(1, len(url)), digits(host), entropy(url),
+            entropy(host), sum(1 for x in query.split("&") if x), len(labels), max(map(len, labels)), host.count("-"), path.count("."), "#" in url]
+
+
+def plain_keys(host):
+    return [f"{k}:" + ".".join(host.split(".")[-k:]) for k in (1, 2, 3)]
+
+
+def test_features_are_what_they_say(spark):
+    given = [None, "", "x", "http://", "http://WWW.Ex-ample.com/en//1.html?a=b&&c#d?e", "ftp://a://b/c", "http://É.com/ü☃", "//é?x#",
+             "http://9.9/?a&b&c", "http://h" + "a" * 3000]
+    docs = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    for r in urls._described(docs, "url", urls.F.col("page_id")).withColumns(
+            {"w": urls.lexical(urls.F.col("url"), urls.F.col("host"), urls.F.col("path")), "k": urls.suffixes(urls.F.col("host"))}).collect():
+        assert r["w"] == pytest.approx(plain_words(given[r.page_id] or "", r.host, r.path), abs=1e-9), given[r.page_id]
+        assert r["k"] == plain_keys(r.host)
+
+
+def spam_sample(rng, n):
+    rows, labels = [], []
+    for _ in range(n):
+        spam = rng.random() < 0.4
+        name = "".join(rng.choice("abcdefgh0123456789" if spam else "abcdefgh") for _ in range(rng.randint(6, 14)))
+        url = f"http://{name}.example/{'/'.join('x' * rng.randint(1, 4))}?{'&'.join('a=1' for _ in range(rng.randint(0, 5 if spam else 2)))}"
+        rows.append((url, *parts(url)))
+        labels.append(int(spam))
+    return [plain_words(*r) for r in rows], [plain_keys(r[1]) for r in rows], labels
 
 
 def test_trees_learn_lexical_patterns():
     rng = random.Random(3)
+    model = urls.train(*spam_sample(rng, 1500))
+    words, keys, labels = spam_sample(rng, 500)
+    scores = model.scores(np.array(words), keys)
+    assert ((scores >= model.threshold) == np.array(labels)).mean() > 0.93
+    assert urls.train(words[:3], keys[:3], [1, 1, 1]).scores(np.array(words[:2]), keys[:2]).min() > 0.99
 
-    def sample(n):
-        rows, labels = [], []
-        for _ in range(n):
-            spam = rng.random() < 0.4
-            name = "".join(rng.choice("abcdefgh0123456789" if spam else "abcdefgh") for _ in range(rng.randint(6, 14)))
-            url = f"http://{name}.example/{'/'.join('x' * rng.randint(1, 4))}?{'&'.join('a=1' for _ in range(rng.randint(0, 5 if spam else 2)))}"
-            rows.append((url, *parts(url)))
-            labels.append(int(spam))
-        return rows, labels
-    model = urls.train(*sample(1500))
-    rows, labels = sample(500)
-    assert ((model.scores(rows) >= 0.5) == np.array(labels)).mean() > 0.93
-    assert urls.train(rows[:3], [1, 1, 1]).scores(rows[:2]).min() > 0.99
+
+def test_trees_judge_hosts_of_a_rule_that_they_never_saw():
+    """Labels come from rules by host; what tells them apart is in the words, and one rule is held out whole."""
+    rng = random.Random(5)
+    words, keys, labels, rules = [], [], [], []
+    for rule in range(6):
+        for _ in range(200):
+            bad = rule % 2
+            host = "".join(rng.choice("abcd012" if bad else "abcd") for _ in range(9)) + f".site{rule}.c{rule}"
+            url = f"http://{host}/{'y' * rng.randint(1, 5)}"
+            words.append(plain_words(url, host, parts(url)[1]))
+            keys.append(plain_keys(host))
+            labels.append(bad)
+            rules.append(f"c{rule}/")
+    for out in (2, 3):
+        kept = [i for i, r in enumerate(rules) if r != f"c{out}/"]
+        model = urls.train([words[i] for i in kept], [keys[i] for i in kept], [labels[i] for i in kept], [rules[i] for i in kept])
+        rest = [i for i in range(len(rules)) if i not in set(kept)]
+        scores = model.scores(np.array([words[i] for i in rest]), [keys[i] for i in rest])
+        assert ((scores >= model.threshold) == np.array([labels[i] for i in rest])).mean() > 0.9
+        assert len(set(scores.round(9).tolist())) > 20
+
+
+def plain_tree(x, g, h, edges, depth=0):
+    """Every feature and cut tried in turn."""
+    best, found = 1e-6, None
+    for f in range(x.shape[1]) if depth < urls.DEPTH else ():
+        for cut in edges[f]:
+            left = x[:, f] <= cut
+            if h[left].sum() >= 1 and h[~left].sum() >= 1:
+                gain = g[left].sum()**2 / (h[left].sum() + 1) + g[~left].sum()**2 / (h[~left].sum() + 1) - g.sum()**2 / (h.sum() + 1)
+                if gain > best + 1e-9:
+                    best, found = gain, (f, cut)
+    if found is None:
+        return lambda row: -g.sum() / (h.sum() + 1)
+    left = x[:, found[0]] <= found[1]
+    low, high = (plain_tree(x[m], g[m], h[m], edges, depth + 1) for m in (left, ~left))
+    return lambda row: (high if row[found[0]] > found[1] else low)(row)
+
+
+def test_a_tree_equals_one_that_tries_every_cut():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 9, (300, 4)).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 2] > 6) | (rng.random(300) < 0.1)).astype(float)
+    g, h = 0.4 - y, np.full(300, 0.24)
+    edges = [np.unique(x[:, f])[:-1] for f in range(4)]
+    binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+    tree, plain = urls._tree(x, binned, edges, g, h), plain_tree(x, g, h, edges)
+    got = urls.Trees(0.0, trees=[tree]).margin(x) / urls.RATE
+    assert got == pytest.approx([plain(row) for row in x])
 
 
 # ---- pieces
