@@ -18,8 +18,10 @@ from attest.functions.ordering import ordered_index
 from attest.functions.spread import spread
 
 PAGE = 1 << 18
-MAP_PAGE = 1 << 12
+MAP_PAGE = 1 << 9
 MAP_BLOCK = 1 << 16
+#: Children of a node of the page tree.
+FAN = 1 << 15
 
 
 def page_of(pos: Column, page: int) -> Column:
@@ -33,60 +35,85 @@ def _present(events: DataFrame, by: Sequence[str]) -> DataFrame:
     return events
 
 
+def tree_levels(page: int, fan: int = FAN) -> int:
+    """Levels above the pages that bring any 64-bit position down to one root with at most ``fan`` children."""
+    return max(1, -(-(63 - (page.bit_length() - 1)) // (fan.bit_length() - 1)))
+
+
+def carries(nodes: DataFrame, by: Sequence[str], levels: int, sums: Sequence[str] = (), latest: Sequence[str] = (),
+            node: str = "page", fan: int = FAN) -> DataFrame:
+    """``by, node`` with the sums (0 at first), or the greatest values (null at first), of all earlier nodes within ``by``.
+
+    Nodes are pages at the lowest level; ``fan`` neighbouring nodes have one parent. A window sees the children of
+    one parent, and a parent's carry is handed down to them, so no task holds more than one node's children however
+    many pages an object has.
+    """
+    by, last = list(by), levels <= 1
+    rows = nodes.withColumn("_parent", F.lit(0).cast("long") if last else page_of(F.col(node), fan))
+    earlier = Window.partitionBy(*by, "_parent").orderBy(node).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.select(*by, node, "_parent", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in sums],
+                      *[F.max(c).over(earlier).alias(c) for c in latest])
+    if last:
+        return own.drop("_parent")
+    above = rows.groupBy(*by, F.col("_parent").alias(node)).agg(*[F.sum(c).alias(c) for c in sums],
+                                                                *[F.max(c).alias(c) for c in latest])
+    base = carries(above, by, levels - 1, sums, latest, node, fan).withColumnsRenamed(
+        {node: "_parent", **{c: f"_{c}" for c in (*sums, *latest)}})
+    return own.join(base, [*by, "_parent"]).select(*by, node, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums],
+                                                   *[F.greatest(c, f"_{c}").alias(c) for c in latest])
+
+
+def _events(spans: DataFrame, points: DataFrame | None, by: Sequence[str], start: str, end: str, at: str, page: int) -> DataFrame:
+    """``by, page, at, o, c``: how many spans open at a position, and how many have just closed there."""
+    edges = spread(spans.select(*by, start, end), *by, start).select(*by, F.explode(F.array(
+        F.struct(F.col(start).alias("at"), F.lit(1).alias("o"), F.lit(0).alias("c")),
+        F.struct((F.col(end) + 1).alias("at"), F.lit(0).alias("o"), F.lit(1).alias("c")))).alias("e")).select(*by, "e.*")
+    if points is not None:
+        edges = edges.unionByName(points.select(*by, F.col(at).alias("at"), F.lit(0).alias("o"), F.lit(0).alias("c")))
+    return (_present(edges.withColumn("page", page_of(F.col("at"), page)), by)
+            .groupBy(*by, "page", "at").agg(F.sum("o").alias("o"), F.sum("c").alias("c")))
+
+
 def sweep(spans: DataFrame, points: DataFrame, by: Sequence[str], start: str = "start_b", end: str = "end_b",
-          at: str = "at", page: int = PAGE) -> DataFrame:
+          at: str = "at", page: int = PAGE, fan: int = FAN, levels: int | None = None) -> DataFrame:
     """What lies below every distinct position, for the starts and ends of ``spans`` and for ``points``.
 
     Columns out: ``by``, ``at``; ``below``, positions the union covers below
     it; ``mass``, the same with overlaps counted as often as they occur;
     ``opened``, spans that start below it; ``closed``, spans that end below
     it. Each span adds two events, whatever its length; equal positions are
-    summed before the shuffle. Prefix sums run within pages and over pages.
+    summed before the shuffle. Prefix sums run within pages and up and down a tree of
+    pages. What is covered is where runs have ended less where they have begun, so no event needs its neighbour.
     """
-    by = list(by)
-    edges = spread(spans.select(*by, start, end), *by, start).select(*by, F.explode(F.array(
-        F.struct(F.col(start).alias("at"), F.lit(1).alias("o"), F.lit(0).alias("c")),
-        F.struct((F.col(end) + 1).alias("at"), F.lit(0).alias("o"), F.lit(1).alias("c")))).alias("e")).select(*by, "e.*")
-    nothing = F.lit(0)
-    marked = edges.unionByName(points.select(*by, F.col(at).alias("at"), nothing.alias("o"), nothing.alias("c")))
-    events = (_present(marked.withColumn("page", page_of(F.col("at"), page)), by)
-              .groupBy(*by, "page", "at").agg(F.sum("o").alias("o"), F.sum("c").alias("c")))
+    by, levels = list(by), levels or tree_levels(page, fan)
+    events = _events(spans, points, by, start, end, at, page).withColumn(
+        "m", F.col("at").cast("decimal(20,0)") * (F.col("o") - F.col("c")))
     in_page = Window.partitionBy(*by, "page").orderBy("at")
-    over_pages = Window.partitionBy(*by).orderBy("page")
-    earlier = over_pages.rowsBetween(Window.unboundedPreceding, -1)
     upto, before = in_page.rowsBetween(Window.unboundedPreceding, 0), in_page.rowsBetween(Window.unboundedPreceding, -1)
 
-    def carried(column: str):
-        return F.coalesce(F.sum(column).over(earlier), F.lit(0))
-
-    pages = (events.groupBy(*by, "page").agg(F.sum("o").alias("po"), F.sum("c").alias("pc"), F.min("at").alias("first"))
-             .select(*by, "page", carried("po").alias("base_o"), carried("pc").alias("base_c"),
-                     F.lead("first").over(over_pages).alias("next_first")))
-    following = F.coalesce(F.lead("at").over(in_page), F.col("next_first"), F.col("at"))
-    pieces = (events.join(pages, [*by, "page"])
-              .withColumns({"opened_here": F.col("base_o") + F.sum("o").over(upto), "closed": F.col("base_c") + F.sum("c").over(upto),
-                            "width": following - F.col("at")})
-              .withColumn("active", F.col("opened_here") - F.col("closed"))
-              .select(*by, "page", "at", "closed", (F.col("opened_here") - F.col("o")).alias("opened"),
-                      F.when(F.col("active") > 0, F.col("width")).otherwise(F.lit(0)).alias("piece"),
-                      (F.col("active") * F.col("width")).alias("weight")))
-    totals = (pieces.groupBy(*by, "page").agg(F.sum("piece").alias("pp"), F.sum("weight").alias("pw"))
-              .select(*by, "page", carried("pp").alias("base_p"), carried("pw").alias("base_w")))
-
     def running(column: str):
         return F.coalesce(F.sum(column).over(before), F.lit(0))
 
-    return pieces.join(totals, [*by, "page"]).select(
-        *by, "at", (F.col("base_p") + running("piece")).alias("below"), (F.col("base_w") + running("weight")).alias("mass"),
-        "opened", "closed")
+    pages = events.groupBy(*by, "page").agg(F.sum("o").alias("_bo"), F.sum("c").alias("_bc"), F.sum("m").alias("_bm"))
+    active, after = F.col("opened") - F.col("_was_closed"), F.col("_now_opened") - F.col("closed")
+    edge = F.when((active > 0) & (after == 0), F.col("at")).when((active == 0) & (after > 0), -F.col("at")).otherwise(F.lit(0))
+    runs = (events.join(carries(pages, by, levels, ["_bo", "_bc", "_bm"], fan=fan), [*by, "page"])
+            .select(*by, "page", "at", (F.col("_bo") + running("o")).alias("opened"), (F.col("_bc") + F.sum("c").over(upto)).alias("closed"),
+                    (F.col("_bo") + F.sum("o").over(upto)).alias("_now_opened"), (F.col("_bc") + running("c")).alias("_was_closed"),
+                    (F.col("_bm") + running("m")).alias("_starts"))
+            .withColumns({"_active": active, "_edge": edge}))
+    ends = runs.groupBy(*by, "page").agg(F.sum("_edge").alias("_be"))
+    return runs.join(carries(ends, by, levels, ["_be"], fan=fan), [*by, "page"]).select(
+        *by, "at", (F.col("_be") + running("_edge") + F.when(F.col("_active") > 0, F.col("at")).otherwise(F.lit(0))).alias("below"),
+        (F.col("at").cast("decimal(20,0)") * F.col("_active") - F.col("_starts")).cast("long").alias("mass"), "opened", "closed")
 
 
 def _at_both_ends(wanted: DataFrame, spans: DataFrame, by: Sequence[str], values: Sequence[str], start: str, end: str,
-                  page: int) -> DataFrame:
+                  page: int, fan: int = FAN) -> DataFrame:
     """Wanted ranges with the sweep's values at their first position (``_lo_*``) and behind their last (``_hi_*``)."""
     by = list(by)
     points = wanted.select(*by, F.explode(F.array(F.col(start), F.col(end) + 1)).alias("at"))
-    swept = sweep(spans, points, by, start, end, "at", page).select(*by, "at", *values)
+    swept = sweep(spans, points, by, start, end, "at", page, fan).select(*by, "at", *values)
     rows = wanted.withColumn("_lo", F.col(start)).withColumn("_hi", F.col(end) + 1)
     for side in ("_lo", "_hi"):
         rows = rows.join(swept.select(*by, F.col("at").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in values]), [*by, side])
@@ -94,40 +121,34 @@ def _at_both_ends(wanted: DataFrame, spans: DataFrame, by: Sequence[str], values
 
 
 def union_cover(wanted: DataFrame, spans: DataFrame, by: Sequence[str], name: str = "covered",
-                start: str = "start_b", end: str = "end_b", page: int = PAGE) -> DataFrame:
+                start: str = "start_b", end: str = "end_b", page: int = PAGE, fan: int = FAN) -> DataFrame:
     """Add to each wanted range the positions that the union of ``spans`` covers."""
-    rows = _at_both_ends(wanted, spans, by, ["below"], start, end, page)
+    rows = _at_both_ends(wanted, spans, by, ["below"], start, end, page, fan)
     return rows.select(*wanted.columns, (F.col("_hi_below") - F.col("_lo_below")).alias(name))
 
 
 def overlap_totals(wanted: DataFrame, spans: DataFrame, by: Sequence[str], start: str = "start_b", end: str = "end_b",
-                   page: int = PAGE) -> DataFrame:
+                   page: int = PAGE, fan: int = FAN) -> DataFrame:
     """Add how many spans overlap each wanted range and the positions they share, every span counted; no pairs are formed."""
-    rows = _at_both_ends(wanted, spans, by, ["mass", "opened", "closed"], start, end, page)
+    rows = _at_both_ends(wanted, spans, by, ["mass", "opened", "closed"], start, end, page, fan)
     return rows.select(*wanted.columns, (F.col("_hi_opened") - F.col("_lo_closed")).alias("overlapping"),
                        (F.col("_hi_mass") - F.col("_lo_mass")).alias("shared"))
 
 
 def islands(spans: DataFrame, by: Sequence[str], start: str = "start_b", end: str = "end_b",
-            page: int = PAGE) -> DataFrame:
+            page: int = PAGE, fan: int = FAN) -> DataFrame:
     """Start of every maximal run of overlapping spans, with the start of the next run.
 
     Touching spans share no position, so they are separate runs.
     """
     by = list(by)
-    edges = spans.select(*by, F.explode(F.array(
-        F.struct(F.col(start).alias("at"), F.lit(1).alias("opened"), F.lit(0).alias("closed")),
-        F.struct((F.col(end) + 1).alias("at"), F.lit(0).alias("opened"), F.lit(1).alias("closed")))).alias("e"))
-    events = (_present(edges.select(*by, "e.*").withColumn("page", page_of(F.col("at"), page)), by).groupBy(*by, "page", "at")
-              .agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed")))
-    net = F.col("opened") - F.col("closed")
+    events = _events(spans, None, by, start, end, "at", page).withColumn("net", F.col("o") - F.col("c"))
     in_page = Window.partitionBy(*by, "page").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*by).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    pages = (events.groupBy(*by, "page").agg(F.sum(net).alias("net"))
-             .select(*by, "page", F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("base")))
-    open_before = F.col("base") + F.coalesce(F.sum(net).over(in_page), F.lit(0))
-    return (events.join(pages, [*by, "page"]).withColumn("left", open_before - F.col("closed"))
-            .where((F.col("opened") > 0) & (F.col("left") == 0)).select(*by, F.col("at").alias("island")))
+    pages = events.groupBy(*by, "page").agg(F.sum("net").alias("base"))
+    open_before = F.col("base") + F.coalesce(F.sum("net").over(in_page), F.lit(0))
+    return (events.join(carries(pages, by, tree_levels(page, fan), ["base"], fan=fan), [*by, "page"])
+            .withColumn("left", open_before - F.col("c"))
+            .where((F.col("o") > 0) & (F.col("left") == 0)).select(*by, F.col("at").alias("island")))
 
 
 def clip_to_pages(df: DataFrame, start: str, end: str, page: int) -> DataFrame:
@@ -209,21 +230,22 @@ def earliest_map(spans: DataFrame, by: Sequence[str], moment: str, start: str =
     return mapped.select(*by, "page", F.arrays_zip("s", "e", "m").alias("runs"))
 
 
-def border_ranks(ranges: Sequence[DataFrame], by: Sequence[str], start: str = "start_b", end: str = "end_b") -> DataFrame:
-    """Every position where one of the ranges begins or has just ended, numbered from 0 within ``by`` (``at, rank``)."""
-    edges = None
-    for df in ranges:
-        own = df.select(*by, F.explode(F.array(F.col(start), F.col(end) + 1)).alias("at"))
-        edges = own if edges is None else edges.unionByName(own)
-    return ordered_index(_present(edges.withColumn("page", F.lit(0)), by).select(*by, "at").distinct(), ["at"], by, "rank")
-
+def border_ranks(ranges: Sequence[DataFrame], by: Sequence[str], start: str = "start_b", end: str = "end_b",
+                 moment: str | None = None) -> DataFrame:
+    """Both borders of every different range (where it begins, and where it has just ended) in the order of (``by``, ``at``).
 
-def _ranked(df: DataFrame, borders: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
-    """``df`` with the first and last elementary stretch of each range: ``_first``, ``_last``."""
-    rows = df.withColumn("_stop", F.col(end) + 1)
-    for at, name in ((start, "_first"), ("_stop", "_behind")):
-        rows = rows.join(borders.select(*by, F.col("at").alias(at), F.col("rank").alias(name)), [*by, at])
-    return rows.withColumn("_last", F.col("_behind") - 1).drop("_stop", "_behind")
+    Columns out: ``by``, ``start``, ``end``; ``_m``, the range's lowest ``moment``, null where no table has one; ``at``; ``rank``,
+    the border's place among all. One range sort of the borders is the only order that is needed.
+    """
+    by, held = list(by), None
+    for df in ranges:
+        own = df.select(*by, start, end, (F.col(moment) if moment in df.columns else F.lit(None)).cast("long").alias("_m"))
+        held = own if held is None else held.unionByName(own)
+    for column in (*by, start, end):
+        held = held.where(F.col(column).isNotNull())
+    once = held.where(F.col(end) >= F.col(start)).groupBy(*by, start, end).agg(F.min("_m").alias("_m"))
+    return ordered_index(once.select("*", F.explode(F.array(F.col(start), F.col(end) + 1)).alias("at")),
+                         [*by, "at", start, end], (), "rank")
 
 
 def covered_before(wanted: DataFrame, spans: DataFrame, key: Sequence[str], by: Sequence[str], moment: str, span_moment: str,
@@ -233,26 +255,29 @@ def covered_before(wanted: DataFrame, spans: DataFrame, key: Sequence[str], by:
 
     Positions are numbered by the borders of the ranges, so the work follows the
     number of ranges and not their length: between two borders nothing changes.
+    Borders of one object are neighbours, so one numbering serves all objects.
     A page is ``page`` such stretches; each (range, page) meets one row of the
     map of first moments and one list of borders, and no pairs are emitted.
     ``key`` must identify a wanted row.
     """
     key, by = list(key), list(by)
     asked = wanted.select(*key, *[c for c in (*by, start, end) if c not in key], F.col(moment).alias("_moment"))
-    seen = spans.select(*by, start, end, F.col(span_moment).alias("_m"))
-    borders = border_ranks([asked, seen], by, start, end)
-    first = earliest_map(_ranked(seen, borders, by, start, end), by, "_m", "_first", "_last", page, block)
-    own = page_of(F.col("rank"), page)
+    borders = border_ranks([asked.select(*by, start, end), spans.select(*by, start, end, F.col(span_moment).alias("_m"))],
+                           by, start, end, "_m")
+    ranked = borders.groupBy(*by, start, end).agg(F.min("rank").alias("_first"), (F.max("rank") - 1).alias("_last"),
+                                                  F.min("_m").alias("_m"))
+    first = earliest_map(ranked.where(F.col("_m").isNotNull()), [], "_m", "_first", "_last", page, block)
     # A border between two pages ends the last stretch of the one before.
-    places = (borders.select(*by, "rank", "at", F.explode(F.array_distinct(F.array(own, page_of(F.greatest(
-        F.col("rank") - 1, F.lit(0)), page)))).alias("page"))
-              .groupBy(*by, "page").agg(F.sort_array(F.collect_list("at")).alias("_at")))
-    met = (clip_to_pages(_ranked(asked, borders, by, start, end), "_first", "_last", page)
-           .join(first, [*by, "page"]).join(places, [*by, "page"]))
+    places = (borders.select("rank", "at", F.explode(F.array_distinct(F.array(
+        page_of(F.col("rank"), page), page_of(F.greatest(F.col("rank") - 1, F.lit(0)), page)))).alias("page"))
+              .groupBy("page").agg(F.sort_array(F.collect_list(F.struct("rank", "at"))).alias("_borders")))
+    met = (clip_to_pages(asked.join(ranked.select(*by, start, end, "_first", "_last"), [*by, start, end])
+                         .select(*key, "_moment", "_first", "_last"), "_first", "_last", page)
+           .join(first, "page").join(places, "page"))
     base = F.col("page") * page
 
     def at(rank: Column) -> Column:
-        return F.get("_at", (rank - base).cast("int"))
+        return F.get("_borders", (rank - base).cast("int"))["at"]
 
     inside = F.aggregate(
         F.filter("runs", lambda r: (r["m"] < F.col("_moment")) & (r["s"] <= F.col("_e")) & (r["e"] >= F.col("_s"))),
@@ -269,5 +294,5 @@ def micros(column: Column | str) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-__all__ = ["PAGE", "MAP_PAGE", "MAP_BLOCK", "sweep", "union_cover", "overlap_totals", "islands", "clip_to_pages", "earliest_map",
+__all__ = ["PAGE", "MAP_PAGE", "MAP_BLOCK", "FAN", "carries", "tree_levels", "sweep", "union_cover", "overlap_totals", "islands", "clip_to_pages", "earliest_map",
            "covered_before", "border_ranks", "micros", "page_of"]

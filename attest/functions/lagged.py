@@ -6,6 +6,8 @@ import numpy as np
 
 
 _FLAT = 1e-12
+#: Scores that are nearer than this differ by rounding only and count as equal.
+_SAME = 1e-9
 
 
 def centred(x: np.ndarray) -> np.ndarray:
@@ -69,7 +71,8 @@ def pair_scores(source: np.ndarray, target: np.ndarray, shifts: np.ndarray, max_
 def judge(source: np.ndarray, target: np.ndarray, shifts: np.ndarray, limits: list[int]) -> list[dict]:
     """One test per lag limit: score, lag, p and max-statistic adjusted p for both directions.
 
-    All limits share the rotations, so arms of a study cost one pass.
+    All limits share the rotations, so arms of a study cost one pass. A surrogate that falls short by rounding only
+    counts as one that reaches the score, so p does not depend on how a machine adds up.
     """
     (fwd, fwd_lag), (rev, rev_lag) = pair_scores(source, target, shifts, max(limits))
     n = len(shifts)
@@ -79,9 +82,9 @@ def judge(source: np.ndarray, target: np.ndarray, shifts: np.ndarray, limits: li
         top = np.maximum(f[1:], r[1:])
         out.append({
             "fwd_score": float(f[0]), "fwd_lag": int(fwd_lag[0, limit - 1]),
-            "fwd_p": float((1 + np.sum(f[1:] >= f[0])) / (n + 1)),
-            "fwd_adj_p": float((1 + np.sum(top >= f[0])) / (n + 1)),
+            "fwd_p": float((1 + np.sum(f[1:] >= f[0] - _SAME)) / (n + 1)),
+            "fwd_adj_p": float((1 + np.sum(top >= f[0] - _SAME)) / (n + 1)),
             "rev_score": float(r[0]), "rev_lag": int(rev_lag[0, limit - 1]),
-            "rev_p": float((1 + np.sum(r[1:] >= r[0])) / (n + 1)),
-            "rev_adj_p": float((1 + np.sum(top >= r[0])) / (n + 1))})
+            "rev_p": float((1 + np.sum(r[1:] >= r[0] - _SAME)) / (n + 1)),
+            "rev_adj_p": float((1 + np.sum(top >= r[0] - _SAME)) / (n + 1))})
     return out

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attest.functions.draws import draw
 from attest.functions.expressions import Arm, Settings, arm_lag
 from attest.functions.lagged import judge, pair_scores
 from attest.functions.spread import spread
@@ -68,7 +69,7 @@ def lagged_corr(pairs: DataFrame, max_lag: int, keys: Sequence[str] = ("window_i
 def shifts(n_surrogates: int, seed: Column, length: Column) -> Column:
     """Deterministic rotations 1..length-1, one per surrogate."""
     drawn = F.transform(F.sequence(F.lit(1), F.lit(n_surrogates)),
-                        lambda k: F.lit(1) + F.pmod(F.xxhash64(seed, k), F.greatest(length.cast("long") - 1, F.lit(1))))
+                        lambda k: F.lit(1) + draw(length.cast("long") - 1, seed, k))
     return F.when(length >= 2, drawn).otherwise(F.array().cast("array<bigint>"))
 
 

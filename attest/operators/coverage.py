@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attest.functions.intervals import (MAP_PAGE, PAGE, covered_before, islands, micros, overlap_totals, page_of,
-                                        union_cover)
+from attest.functions.intervals import (FAN, MAP_PAGE, PAGE, carries, covered_before, islands, micros, overlap_totals,
+                                        page_of, tree_levels, union_cover)
 from attest.session import cut_lineage
 
 RANGE = ("url", "start_b", "end_b")
@@ -201,16 +201,16 @@ def holdout_families(reserved: DataFrame, page: int = PAGE) -> DataFrame:
     return members.join(families.where(F.col("_n") > 1), "component").select("family", "exp_id")
 
 
-def last_known(df: DataFrame, by: Sequence[str], at: str, value: str, page: int) -> DataFrame:
-    """Fill ``value`` with the last non-null one at or before ``at`` (as-of), two levels deep to bound the windows."""
+def last_known(df: DataFrame, by: Sequence[str], at: str, value: str, page: int, fan: int = FAN) -> DataFrame:
+    """Fill ``value`` with the last non-null one at or before ``at`` (as-of): within pages, and up and down the page tree."""
     by = list(by)
     rows = df.withColumn("_page", page_of(F.col(at), page))
-    whole = Window.partitionBy(*by).orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
-    pages = (rows.groupBy(*by, "_page").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(at))).alias("_v"))
-             .select(*by, "_page", F.last("_v", ignorenulls=True).over(whole).alias("_carry")))
+    latest = F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("at"), F.col(value).alias("value"))))
+    pages = carries(rows.groupBy(*by, "_page").agg(latest.alias("_carry")), by, tree_levels(page, fan), latest=["_carry"],
+                    node="_page", fan=fan)
     inside = Window.partitionBy(*by, "_page").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
     return (rows.join(pages, [*by, "_page"])
-            .withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carry")))
+            .withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carry.value")))
             .drop("_page", "_carry"))
 
 

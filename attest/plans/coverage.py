@@ -185,18 +185,18 @@ def ledger_extends(spark, sf):
     return cov.extends(entries, _later(entries)).select("url", "start_b", "end_b", "problem")
 
 
-@query("ledger_history", v.sql("v_ledger", f"""WITH {_EXACT_SQL.replace("exact AS (", "exact AS MATERIALIZED (")},
-versions AS MATERIALIZED (SELECT 1 AS seq, * FROM exact WHERE first_read_at < TIMESTAMP '1999-01-01'
-  UNION ALL SELECT 4 AS seq, * FROM exact WHERE end_b % 13 <> 0
-  UNION ALL SELECT 6 AS seq, url, start_b, end_b, sha256, first_read_at,
-    CASE WHEN start_b % 900 = 0 THEN 'EXP-Y' ELSE first_read_by END FROM exact),
-steps AS (SELECT 1 AS a, 4 AS b UNION ALL SELECT 4, 6)
-SELECT s.b AS seq, e.url, e.start_b, e.end_b,
+_STEP_SQL = """SELECT {b} AS seq, e.url, e.start_b, e.end_b,
   concat(split_part(e.url, '/', 2), ' [', e.start_b, ', ', e.end_b, ']: ',
     CASE WHEN l.url IS NULL THEN 'entry removed' ELSE 'first_read_by changed' END) AS problem
-FROM steps s JOIN versions e ON e.seq = s.a
-LEFT JOIN versions l ON l.seq = s.b AND l.url = e.url AND l.start_b = e.start_b AND l.end_b = e.end_b
-WHERE l.url IS NULL OR l.first_read_by <> e.first_read_by"""))
+FROM v{a} e LEFT JOIN v{b} l ON l.url = e.url AND l.start_b = e.start_b AND l.end_b = e.end_b
+WHERE l.url IS NULL OR l.first_read_by <> e.first_read_by"""
+
+
+@query("ledger_history", v.sql("v_ledger", f"""WITH {_EXACT_SQL.replace("exact AS (", "exact AS MATERIALIZED (")},
+v1 AS (SELECT * FROM exact WHERE first_read_at < TIMESTAMP '1999-01-01'),
+v4 AS (SELECT * FROM exact WHERE end_b % 13 <> 0),
+v6 AS (SELECT url, start_b, end_b, CASE WHEN start_b % 900 = 0 THEN 'EXP-Y' ELSE first_read_by END AS first_read_by FROM exact)
+{_STEP_SQL.format(a=1, b=4)} UNION ALL {_STEP_SQL.format(a=4, b=6)}"""))
 def ledger_history(spark, sf):
     entries = cov.distinct_entries(v.ledger(spark, sf))
     first = entries.where("first_read_at < TIMESTAMP_NTZ '1999-01-01'").withColumn("seq", F.lit(1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attest.functions.draws import bucket_sql, draw_sql
 from attest.functions.expressions import Arm, Contrast, Criterion, Settings, Stratum, arm_lag, detected, stratum_of
 from attest.operators import criteria as cr
 from attest.operators import measures as m
@@ -415,19 +416,47 @@ def rivals(spark, sf):
 
 RESAMPLES, SEED = 1000, 20240101
 
+# Subjects are numbered by bucket and name; draw k of a resample is the k-th number of its own.
+_PICKS = f"""subjects AS MATERIALIZED (SELECT record, row_number() OVER (ORDER BY {bucket_sql('record')}, record) - 1 AS idx, count(*) OVER () AS n
+  FROM (SELECT DISTINCT record FROM v_windows) q),
+drawn AS (SELECT resample, {draw_sql('n', SEED, 'resample', 'idx')} AS idx FROM subjects, range({RESAMPLES}) AS r(resample)),
+picks AS MATERIALIZED (SELECT resample, record, CAST(count(*) AS BIGINT) AS copies FROM drawn JOIN subjects USING (idx) GROUP BY resample, record)"""
 
-@query("bootstrap_picks")
+
+def _resampled_sql() -> str:
+    """Status and criteria of each resample: subjects weigh as often as they were drawn, controls stay."""
+    normal = ("SELECT p.resample, sum(p.copies * o.own) / sum(p.copies) AS v FROM picks p JOIN (SELECT record, avg(CAST(won AS DOUBLE)) AS own "
+              "FROM rated WHERE kind = 'real' AND arm = '{arm}' AND band = 'normal' GROUP BY record) o ON o.record = p.record GROUP BY p.resample")
+    other = ("SELECT p.resample, sum(p.copies * o.hits) / CAST(sum(p.copies * o.n) AS DOUBLE) AS v FROM picks p JOIN (SELECT record, "
+             "count(*) AS n, count(*) FILTER (won) AS hits FROM rated WHERE kind = 'mismatched' AND arm = 'long' GROUP BY record) o "
+             "ON o.record = p.record GROUP BY p.resample")
+    values = {"synthetic_null_false_positive_rate_short": _measure_sql(REGISTERED)["synthetic_null_false_positive_rate_short"],
+              "normal_detection_rate_long": "l.v", "mismatched_detection_rate_long": "x.v", "normal_change_long_vs_short": "l.v - s.v"}
+    status, _ = _status_sql(values)
+    flags = ", ".join(f"({values[c.metric]}) {c.op} {c.value} AS holds_{c.id}" for c in APPLIED)
+    return (f"{_rated(REGISTERED)}, {_PICKS}, resampled AS (SELECT r.resample, {status} AS status, {flags} FROM range({RESAMPLES}) AS r(resample) "
+            f"LEFT JOIN ({normal.format(arm='long')}) l USING (resample) LEFT JOIN ({normal.format(arm='short')}) s USING (resample) "
+            f"LEFT JOIN ({other}) x USING (resample))")
+
+
+_TALLY = ("SELECT status, CAST(count(*) AS BIGINT) AS resamples, count(*) / CAST((SELECT count(*) FROM resampled) AS DOUBLE) AS share, "
+          "count(*) / CAST((SELECT count(*) FROM resampled) AS DOUBLE) >= 0.95 AS settled FROM resampled GROUP BY status")
+
+
+@query("bootstrap_picks", v.sql("v_windows", f"""WITH {_PICKS}
+SELECT record, CAST(sum(copies) AS BIGINT) AS drawn, CAST(count(*) AS BIGINT) AS resamples FROM picks GROUP BY record"""))
 def bootstrap_picks(spark, sf):
     picks = rh.bootstrap_subjects(v.view(spark, sf, "v_windows"), RESAMPLES, SEED)
     return picks.groupBy("record").agg(F.sum("copies").alias("drawn"), F.count(F.lit(1)).alias("resamples"))
 
 
-@query("rehearse_resamples")
+@query("rehearse_resamples", v.sql("v_tests", f"WITH {_resampled_sql()} SELECT CAST(resample AS INT) AS resample, status, "
+                                   + ", ".join(f"holds_{c.id}" for c in APPLIED) + " FROM resampled"))
 def rehearse_resamples(spark, sf):
     return rh.rehearse_resamples(v.study_tests(spark, sf), REGISTERED, APPLIED, RESAMPLES, SEED)
 
 
-@query("bootstrap_tally")
+@query("bootstrap_tally", v.sql("v_tests", f"WITH {_resampled_sql()} {_TALLY}"))
 def bootstrap_tally(spark, sf):
     return rh.settled(rh.rehearse_resamples(v.study_tests(spark, sf), REGISTERED, APPLIED, RESAMPLES, SEED))
 
@@ -440,7 +469,26 @@ def settled(spark, sf):
         "CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'passed' ELSE 'inconclusive' END AS status"))
 
 
-@query("rehearsal_findings")
+def _findings_sql() -> str:
+    """Sentences from the same tally, contrasts and rivals as the queries of those names."""
+    observed, _ = _status_sql(_measure_sql(REGISTERED))
+    arms = "(VALUES " + ", ".join(f"('{c.name}', '{c.arm}', '{c.minus}')" for c in CONTRASTS) + ") AS a(contrast, arm, minus)"
+    rows = _rival_sql()
+    rivals_from = rows[rows.index(" SELECT 'short' AS arm"):]
+    pops = " UNION ALL ".join(_pop_sql(c) for c in CONTRASTS)
+    return v.sql("v_tests v_strat", f"""WITH {_resampled_sql()}, tally AS ({_TALLY}), told AS ({pops}), others AS ({rivals_from})
+SELECT 1 AS part, status AS subject, concat(upper(status), ' recurs in ', resamples, ' of {RESAMPLES} resamples',
+  CASE WHEN settled THEN ': the verdict is settled before the registered data is read.' ELSE '.' END) AS sentence
+FROM tally WHERE status = ({observed.join(['SELECT ', ''])})
+UNION ALL SELECT 2, contrast, CASE WHEN blind THEN concat(contrast, ' is blind: ', arm, ' and ', minus, ' decide all ', tests, ' tests alike.')
+  ELSE concat(contrast, ': ', arm, ' and ', minus, ' disagree on ', arm_only + minus_only, ' of ', tests, ' tests.') END
+FROM told JOIN {arms} USING (contrast) WHERE tests IS NOT NULL
+UNION ALL SELECT 3, concat(rival, ' for ', arm), concat('With ', rival, ' in place of ', arm, ', the criteria give ', upper(status),
+  CASE WHEN same_as_observed THEN ' as well: this data cannot tell them apart.' ELSE concat(': they differ by ', criteria_changed, '.') END)
+FROM others""")
+
+
+@query("rehearsal_findings", _findings_sql())
 def rehearsal_findings(spark, sf):
     return rh.rehearse(v.study_tests(spark, sf), REGISTERED, ALL_ARMS, CRITERIA, ASIDE, 1000, SEED)["findings"]
 

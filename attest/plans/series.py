@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attest.functions.draws import draw_sql
 from attest.functions.expressions import Arm, Settings, Stratum, slug
 from attest.functions.intervals import micros
 from attest.functions.ordering import ordered_index
@@ -291,12 +292,37 @@ def lagged_corr(spark, sf):
 SURROGATES = 199
 
 
-@query("surrogates")
+# Vectors of the tables have 64 samples. A rotation takes the source's samples from its shift on, then those before it.
+_LENGTH = 64
+
+
+def _rotated_sql(tests: str, seed: str) -> str:
+    """``turned``: the rows of ``tests`` for each k, 0 being the pair as it is, with the rotated source and the target as lists."""
+    shift = f"CASE WHEN k = 0 THEN 0 ELSE 1 + {draw_sql(str(_LENGTH - 1), seed, 'k')} END"
+    return (f"shifted AS MATERIALIZED (SELECT *, {shift} AS shift FROM {tests}, range({SURROGATES + 1}) AS r(k)), "
+            "turned AS MATERIALIZED (SELECT * REPLACE (CAST(list_concat(source[shift + 1:], source[1:shift]) AS DOUBLE[]) AS source, "
+            "CAST(target AS DOUBLE[]) AS target) FROM shifted)")
+
+
+def _profile_sql(a: str, b: str, max_lag: int) -> str:
+    """|correlation| of a[t] with b[t + lag] at lags 1..max_lag, as a list."""
+    x, y, n = f"{a}[1:{_LENGTH} - lag]", f"{b}[lag + 1:{_LENGTH}]", f"({_LENGTH} - lag)"
+    def spread_of(z: str) -> str:
+        return f"greatest(0, list_inner_product({z}, {z}) - list_sum({z}) * list_sum({z}) / {n})"
+    cov = f"list_inner_product({x}, {y}) - list_sum({x}) * list_sum({y}) / {n}"
+    return (f"list_transform(range(1, {max_lag + 1}), lambda lag: CASE WHEN {spread_of(x)} * {spread_of(y)} > 1e-20 "
+            f"THEN abs({cov}) / sqrt({spread_of(x)} * {spread_of(y)}) ELSE 0 END)")
+
+
+@query("surrogates", v.sql("v_pairs", f"""WITH {_rotated_sql('v_pairs', 'window_id')},
+scored AS (SELECT window_id, k, list_max({_profile_sql('source', 'target', MAX_LAG)}) AS fwd FROM turned)
+SELECT window_id, round(max(fwd) FILTER (k = 0), 9) AS observed, round(max(fwd) FILTER (k > 0), 9) AS best_surrogate,
+  CAST(count(*) FILTER (k > 0) AS BIGINT) AS surrogates FROM scored GROUP BY window_id"""))
 def surrogates(spark, sf):
     pairs = v.pairs(spark, sf)
     rows = cp.surrogates(pairs, SURROGATES, F.col("window_id"), MAX_LAG)
-    return rows.groupBy("window_id").agg(F.max(F.when(F.col("k") == 0, F.col("fwd"))).alias("observed"),
-                                         F.max(F.when(F.col("k") > 0, F.col("fwd"))).alias("best_surrogate"),
+    return rows.groupBy("window_id").agg(F.round(F.max(F.when(F.col("k") == 0, F.col("fwd"))), 9).alias("observed"),
+                                         F.round(F.max(F.when(F.col("k") > 0, F.col("fwd"))), 9).alias("best_surrogate"),
                                          F.count_if(F.col("k") > 0).alias("surrogates"))
 
 
@@ -357,9 +383,45 @@ def study_lag_window(spark, sf):
     return cp.study_lag_window(*_study_inputs(spark, sf), VECTOR_STUDY, SURROGATES, 7)
 
 
-@query("study_simple")
+# What both studies test, without the frequency: own pairs, partners of a ring and three controls of each source.
+_OWN = "SELECT 'real' AS kind, window_id, window_id % 40 AS record, window_id AS position, source, target FROM v_pairs"
+_CONTROLS = ("SELECT kind, window_id, CAST(NULL AS BIGINT), window_id, source, CASE kind WHEN 'positive' THEN list_concat(source[-3:], source[1:61]) "
+             "WHEN 'null' THEN list_reverse(target) ELSE list_concat(source[-10:], source[1:54]) END FROM v_pairs, (VALUES {kinds}) AS c(kind)")
+_NEXT = ("SELECT 'mismatched', a.window_id, a.window_id % 40, a.window_id, a.source, b.target FROM ring a JOIN ring b ON b.j = (a.j + 1) % a.n "
+         "WHERE a.n > 1")
+_SIMPLE_LAG = 12
+
+
+def _judged_sql(tests: str, seed: str, limits: dict[str, str], longest: int) -> str:
+    """``judged``: for each test and arm the scores, lags and p values; ``limits`` has each arm's lag limit as SQL."""
+    arms = " UNION ALL ".join(f"SELECT *, '{arm}' AS arm, {limit} AS max_lag FROM profiles" for arm, limit in limits.items())
+    same = "1e-9"  # as in the library: scores that differ by rounding only are equal
+    keys = "kind, window_id, record, seed, arm, max_lag"
+    p = f"(1 + count(*) FILTER (b.k > 0 AND {{s}} >= a.{{o}} - {same})) / CAST({SURROGATES + 1} AS DOUBLE)"
+    return f"""seeded AS (SELECT *, {seed} AS seed FROM ({tests}) t), {_rotated_sql('seeded', 'seed')},
+profiles AS MATERIALIZED (SELECT kind, window_id, record, seed, k, {_profile_sql('source', 'target', longest)} AS f,
+  {_profile_sql('target', 'source', longest)} AS r FROM turned),
+cut AS MATERIALIZED (SELECT {keys}, k, f[1:max_lag] AS f, r[1:max_lag] AS r, list_max(f[1:max_lag]) AS fs, list_max(r[1:max_lag]) AS rs FROM ({arms}) z),
+judged AS (SELECT {', '.join('a.' + c for c in keys.split(', '))}, round(a.fs, 9) AS fwd_score, CAST(list_position(a.f, a.fs) AS INT) AS fwd_lag,
+  {p.format(s='b.fs', o='fs')} AS fwd_p, {p.format(s='greatest(b.fs, b.rs)', o='fs')} AS fwd_adj_p,
+  round(a.rs, 9) AS rev_score, CAST(list_position(a.r, a.rs) AS INT) AS rev_lag, {p.format(s='b.rs', o='rs')} AS rev_p,
+  {p.format(s='greatest(b.fs, b.rs)', o='rs')} AS rev_adj_p
+  FROM cut a JOIN cut b ON a.k = 0 AND b.kind = a.kind AND b.window_id = a.window_id AND b.arm = a.arm GROUP BY ALL)"""
+
+
+def _seed_sql(seed: int, offsets: dict[str, int]) -> str:
+    return "CASE kind " + " ".join(f"WHEN '{k}' THEN {seed + o} + position" for k, o in offsets.items()) + " END"
+
+
+_SIMPLE_TESTS = f"{_OWN} UNION ALL {_NEXT} UNION ALL {_CONTROLS.format(kinds=chr(40) + repr('positive') + '), (' + repr('null') + ')')}"
+
+
+@query("study_simple", v.sql("v_pairs", f"""WITH ring AS (SELECT *, row_number() OVER (ORDER BY window_id) - 1 AS j, count(*) OVER () AS n FROM v_pairs),
+{_judged_sql(_SIMPLE_TESTS, _seed_sql(7, cp.SIMPLE_OFFSETS), {'only': str(_SIMPLE_LAG)}, _SIMPLE_LAG)}
+SELECT *, CAST(NULL AS VARCHAR) AS reason FROM judged"""))
 def study_simple(spark, sf):
-    return cp.study_simple(*_study_inputs(spark, sf), 3.0, v.FS, SURROGATES, 7)
+    tests = cp.study_simple(*_study_inputs(spark, sf), 3.0, v.FS, SURROGATES, 7)
+    return tests.withColumns({c: F.round(c, 9) for c in ("fwd_score", "rev_score")})
 
 
 @query("study_measures")

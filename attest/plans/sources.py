@@ -108,7 +108,17 @@ def _streamed(spark, sf, name: str):
     return spark.readStream.schema(v.table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet*")
 
 
-@query("stream_first_reads")
+# A read is logged if some byte of it is neither in the ledger nor in an earlier read of the stream.
+@query("stream_first_reads", v.sql("v_ledger", """WITH reads AS (
+  SELECT concat('part/', o_custkey % 60) AS url, (o_orderkey % 5000) * 100 AS start_b, (o_orderkey % 5000) * 100 + 137 + (o_custkey % 400) AS end_b,
+    sha256(CAST(o_orderkey AS VARCHAR)) AS sha256, o_orderkey AS seq FROM orders),
+spans AS (SELECT url, start_b, end_b, CAST(-1 AS BIGINT) AS m FROM v_ledger UNION ALL SELECT url, start_b, end_b, seq FROM reads),
+hits AS (SELECT r.seq, greatest(l.start_b, r.start_b) AS s, least(l.end_b, r.end_b) AS e
+  FROM reads r JOIN spans l ON l.url = r.url AND l.start_b <= r.end_b AND l.end_b >= r.start_b AND l.m < r.seq),
+ahead AS (SELECT seq, s, e, max(e) OVER (PARTITION BY seq ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM hits),
+cover AS (SELECT seq, sum(greatest(0, e - greatest(s, coalesce(m + 1, s)) + 1)) AS covered FROM ahead GROUP BY seq)
+SELECT r.url, r.start_b, r.end_b, r.sha256, r.seq FROM reads r LEFT JOIN cover c ON c.seq = r.seq
+WHERE coalesce(c.covered, 0) < r.end_b - r.start_b + 1"""))
 def stream_first_reads(spark, sf):
     reads = _streamed(spark, sf, "orders").selectExpr(
         "concat('part/', o_custkey % 60) AS url", "(o_orderkey % 5000) * 100 AS start_b", "(o_orderkey % 5000) * 100 + 137 + (o_custkey % 400) AS end_b",

@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attest.functions.intervals import border_ranks, covered_before, islands, union_cover
+from attest.functions.intervals import (border_ranks, carries, covered_before, islands, sweep, tree_levels,
+                                        union_cover)
 from attest.operators import coverage as cov
 
 SHA = "a" * 64
@@ -68,6 +69,36 @@ def test_a_terabyte_range_costs_a_handful_of_rows(spark):
     assert got == {1: 3 * tb // 2 + 1, 2: 2 * tb - 4}
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_a_tree_of_pages_equals_one_page(spark, seed):
+    """Pages of 4 positions with 4 children a node: the positions need four levels and more."""
+    spans, asks = cases(seed, n=50, m=20, width=900)
+    s = spark.createDataFrame(spans, "url string, start_b long, end_b long, m long")
+    a = spark.createDataFrame(asks, "id int, url string, start_b long, end_b long, t long")
+    points = a.selectExpr("url", "start_b AS at")
+    flat, tree = (sorted(map(tuple, sweep(s, points, ["url"], page=page, fan=fan, levels=levels).collect()))
+                  for page, fan, levels in ((1 << 20, 1 << 15, 1), (4, 4, 5)))
+    assert flat == tree and len(flat) > 60
+    mine = [x for x in spans if x[0] == "hot"]
+    for url, at, below, mass, opened, closed in flat:
+        if url == "hot":
+            assert below == len({b for _, lo, hi, _ in mine for b in range(lo, min(hi, at - 1) + 1)})
+            assert mass == sum(max(0, min(hi, at - 1) - lo + 1) for _, lo, hi, _ in mine)
+            assert (opened, closed) == (sum(lo < at for _, lo, _, _ in mine), sum(hi < at for _, _, hi, _ in mine))
+    assert sorted(islands(s, ["url"], page=8, fan=1 << 10).collect()) == sorted(islands(s, ["url"]).collect())
+
+
+def test_carries_hand_sums_and_latest_values_down(spark):
+    rows = [("u", p, p * p % 7, None if p % 3 else p) for p in (0, 1, 5, 6, 7, 40, 41, 999)] + [("v", 5, 3, 5)]
+    nodes = spark.createDataFrame(rows, "url string, page long, n long, last long")
+    for fan, levels in ((2, 10), (4, 5), (1 << 15, 1)):
+        got = {(r.url, r.page): (r.n, r.last) for r in carries(nodes, ["url"], levels, ["n"], ["last"], fan=fan).collect()}
+        for url, page, _, _ in rows:
+            before = [r for r in rows if r[0] == url and r[1] < page]
+            assert got[url, page] == (sum(r[2] for r in before), max((r[3] for r in before if r[3] is not None), default=None))
+    assert tree_levels(1 << 18) == 3 and tree_levels(4, 4) == 31
+
+
 def test_touching_spans_are_separate_islands(spark):
     s = spark.createDataFrame([("u", 0, 9), ("u", 10, 19), ("u", 15, 40), ("u", 41, 41)], "url string, start_b long, end_b long")
     assert sorted(r.island for r in islands(s, ["url"], page=16).collect()) == [0, 10, 41]

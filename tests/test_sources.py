@@ -104,6 +104,36 @@ def test_the_stream_logs_what_the_batch_logs(spark, tmp_path):
     assert spark.read.parquet(out + "_refused").count() == refused.count()
 
 
+def test_spans_merge_and_count_what_is_new():
+    rng = random.Random(5)
+    for _ in range(200):
+        starts, ends, known = [], [], set()
+        for _ in range(30):
+            first = rng.randrange(80)
+            last = first + rng.randrange(12)
+            new = set(range(first, last + 1)) - known
+            assert st.add_span(starts, ends, first, last) == len(new)
+            known |= new
+            assert {b for s, e in zip(starts, ends) for b in range(s, e + 1)} == known
+            assert all(e + 1 < s for e, s in zip(ends, starts[1:]))
+
+
+def test_the_stream_resumes_from_its_state_over_many_pages(spark, tmp_path):
+    """Pages of 16 positions, and a second run on more files: the ledger's table is not read again."""
+    rows = reads(160, 7)
+    def stamped(df):
+        return df.withColumn("first_read_at", F.lit(None).cast("timestamp_ntz")).withColumn("first_read_by", F.lit("E"))
+    base = stamped(spark.createDataFrame([("hot", 30, 49, SHA, -1), ("hot", 100, 120, SHA, -1), ("else", 0, 5, SHA, -1)], COLUMNS))
+    out, state = str(tmp_path / "ledger"), str(tmp_path / "state")
+    for part in (rows[:90], rows[90:]):
+        st.first_reads(stamped(staged(spark, tmp_path, part, 3)), base, out, state, page=16).awaitTermination()
+        seen = rows[:part[-1][-1] + 1]
+        new, refused = cov.record_reads(base, spark.createDataFrame(seen, COLUMNS))
+        key = ["url", "start_b", "end_b", "seq"]
+        assert sorted(spark.read.parquet(out).select(*key).collect()) == sorted(new.select(*key).collect())
+        assert sorted(spark.read.parquet(out + "_refused").select(*key).collect()) == sorted(refused.select(*key).collect())
+
+
 def test_gate_and_window_quality_stream_like_their_batch(spark, tmp_path):
     rows = reads(60, 3)
     ledger = spark.createDataFrame([(*r[:4], dt.datetime(2026, 1, 1), "E") for r in reads(30, 4)],
