@@ -232,8 +232,9 @@ def hard_negatives(vectors: DataFrame, every: int = 50, n_positives: int = 5, n_
     positives = written(scored(anchors.withColumn("windows", none), n_positives, _everything, True)
                         .select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     # 100 * negative lies between two multiples of the positive's score: the integers from the ceiling to the floor.
-    low = F.expr(f"-((-{share[0]} * positive_score) div 100) + if((-{share[0]} * positive_score) % 100 < 0, 1, 0)")
-    high = F.expr(f"({share[1]} * positive_score) div 100 - if(({share[1]} * positive_score) % 100 < 0, 1, 0)")
+    hundreds, rest = F.expr("positive_score div 100"), F.col("positive_score") % 100  # no product leaves 64 bits
+    low = (hundreds * share[0] + F.ceil(rest * share[0] / 100)).cast("long")
+    high = (hundreds * share[1] + F.floor(rest * share[1] / 100)).cast("long")
     asked = (positives.withColumn("low", low).withColumn("high", high).where("low <= high")
              .groupBy("anchor_id").agg(F.collect_list(F.struct(F.col("positive_id").alias("keys"), "low", "high")).alias("windows")))
     found = scored(anchors.join(asked, F.col("anchor_id") == F.col("vec_id")), n_negatives, _windows, False)

@@ -28,7 +28,7 @@ from attest.llm.common import scratch, sliced, written
 
 #: Frequencies sum to 2**SCALE; a state lies in [2**31, 2**63) and gives off 32 bits at a time.
 SCALE, LOW = 20, np.uint64(1 << 31)
-BLOCK, LANES, EVERY = 1 << 18, 1024, 128
+BLOCK, LANES, EVERY = 1 << 19, 1024, 256
 MAGIC = b"rANS\x01"
 _HEAD = struct.Struct("<5sIIIIII")  # magic, ids, lanes, steps between checkpoints, checkpoints, words, checksum of ids
 #: Chunks whose ids a worker keeps at most, and the longest that it keeps.

@@ -2,8 +2,8 @@
 
 Host, path, rules and lexical features are DataFrame expressions. The trees are trained on the driver from a bounded
 sample of labelled URLs (logistic loss, histogram splits in numpy) and score batches of URLs inside tasks. Where rules
-made the labels, a row's suffix statistics come from the other rules' rows only, and so does the threshold: the trees have
-to judge hosts that no rule covers.
+made the labels, trees train on one half of the rules with the suffix statistics of the other half and the other way
+round, and the threshold comes from rules that the scoring trees had not seen: they have to judge hosts that no rule covers.
 """
 
 from __future__ import annotations
@@ -92,27 +92,20 @@ FEATURES = len(LEXICAL) + 3
 
 @dataclass
 class Trees:
-    """Boosted trees over lexical features and suffix statistics; ``prior`` alone without training rows."""
+    """Boosted trees over lexical features and suffix statistics; ``prior`` alone without two classes to learn from."""
 
     prior: float = -1.0
     rates: dict[str, tuple[int, int]] = field(default_factory=dict)
     base: float = 0.0
     trees: list[list[tuple[int, float, float]]] = field(default_factory=list)  # heap order: (feature or -1, cut, value)
-    threshold: float = 0.5
-
-    def features(self, words: np.ndarray, keys: list[Sequence[str]], without: list[dict] | None = None) -> np.ndarray:
-        """Lexical features with the block rate of each suffix; a suffix that was not seen has the base rate.
 
-        ``without`` gives the statistics that a row must not see, those of its own group.
-        """
+    def features(self, words: np.ndarray, keys: list[Sequence[str]]) -> np.ndarray:
+        """Lexical features with the block rate of each suffix; a suffix that was not seen has the base rate."""
         out = np.empty((len(keys), FEATURES))
         out[:, :len(LEXICAL)] = words
         for i, own in enumerate(keys):
             for j, key in enumerate(own):
                 hits, n = self.rates.get(key, (0, 0))
-                if without is not None:
-                    less = without[i].get(key, (0, 0))
-                    hits, n = hits - less[0], n - less[1]
                 out[i, len(LEXICAL) + j] = (hits + SMOOTH * self.base) / (n + SMOOTH)
         return out
 
@@ -132,6 +125,18 @@ class Trees:
         return 1 / (1 + np.exp(-self.margin(self.features(words, keys)))) if len(keys) else np.zeros(0)
 
 
+@dataclass
+class Filter:
+    """Two sets of trees, each trained on one half of the groups with the suffix statistics of the other."""
+
+    halves: list[Trees]
+    threshold: float = 0.5
+
+    def scores(self, words: np.ndarray, keys: list[Sequence[str]]) -> np.ndarray:
+        told = [half for half in self.halves if half.trees] or self.halves
+        return np.mean([half.scores(words, keys) for half in told], axis=0)
+
+
 def _counted(keys: list[Sequence[str]], blocked: np.ndarray) -> dict[str, tuple[int, int]]:
     out: dict[str, tuple[int, int]] = {}
     for own, label in zip(keys, blocked.tolist()):
@@ -170,19 +175,16 @@ def _tree(x: np.ndarray, binned: np.ndarray, cuts: list[np.ndarray], g: np.ndarr
     return nodes
 
 
-def _boosted(words: np.ndarray, keys: list[Sequence[str]], y: np.ndarray, groups: np.ndarray) -> Trees:
-    """A row's statistics leave out its own group, so they cannot spell out the label that its group shares."""
-    model = Trees()
+def _boosted(words: np.ndarray, keys: list[Sequence[str]], y: np.ndarray, rates: dict[str, tuple[int, int]], base: float) -> Trees:
+    model = Trees(rates=rates, base=base)
     if not len(y):
         return model
-    model.base = float(y.mean())
-    if model.base in (0.0, 1.0):
-        model.prior = 8.0 if model.base else -8.0
+    share = float(y.mean())
+    if share in (0.0, 1.0):
+        model.prior = 8.0 if share else -8.0
         return model
-    model.prior = math.log(model.base / (1 - model.base))
-    model.rates = _counted(keys, y)
-    own = {g: _counted([keys[i] for i in np.flatnonzero(groups == g)], y[groups == g]) for g in np.unique(groups)}
-    x = model.features(words, keys, [own[g] for g in groups])
+    model.prior = math.log(share / (1 - share))
+    x = model.features(words, keys)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, CUTS + 1)[1:-1], method="lower")) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
     margin = np.full(len(x), model.prior)
@@ -194,6 +196,19 @@ def _boosted(words: np.ndarray, keys: list[Sequence[str]], y: np.ndarray, groups
     return model
 
 
+def _both_halves(words: np.ndarray, keys: list[Sequence[str]], y: np.ndarray, groups: np.ndarray) -> Filter:
+    """Rows that are trained on see the statistics of the other half of the groups, all of them the same ones: what a
+    row's features hold of labels never comes from its own group, and does not tell which group it is of."""
+    order = {g: i for i, g in enumerate(np.unique(groups).tolist())}
+    half = np.array([order[g] % 2 for g in groups.tolist()], dtype=np.int64)
+    out = []
+    for own in (0, 1):
+        mine, other = np.flatnonzero(half == own), np.flatnonzero(half != own)
+        rates = _counted([keys[i] for i in other], y[other])
+        out.append(_boosted(words[mine], [keys[i] for i in mine], y[mine], rates, float(y[other].mean()) if len(other) else 0.0))
+    return Filter([part for part, own in zip(out, (0, 1)) if (half == own).any()] or out[:1])
+
+
 def _best_cut(scores: np.ndarray, y: np.ndarray) -> float:
     """The cut with the highest mean of both classes' shares that fall right; 0.5 if there is one class only."""
     if not len(y) or y.all() or not y.any():
@@ -207,23 +222,22 @@ def _best_cut(scores: np.ndarray, y: np.ndarray) -> float:
     return float(edges[best[np.argmin(np.abs(edges[best] - 0.5))]])
 
 
-def train(words: np.ndarray, keys: list[Sequence[str]], blocked: Sequence[int], groups: Sequence[object] | None = None) -> Trees:
+def train(words: np.ndarray, keys: list[Sequence[str]], blocked: Sequence[int], groups: Sequence[object] | None = None) -> Filter:
     """Fit to lexical features, suffixes and 0/1 labels; with fewer than two classes the verdict is the class there is.
 
-    ``groups`` says which rows share what made their label (a rule); without it rows are halved. Statistics and the
-    threshold come from other groups: the threshold is the best cut of scores that were given by trees which had never seen the row's
-    group, over at most ``FOLDS`` parts of the groups.
+    ``groups`` says which rows share what made their label (a rule); without it each row is a group. The threshold is
+    the best cut of scores from trees that had never seen the row's group, over ``FOLDS`` parts of the groups.
     """
     y = np.array(blocked, dtype=np.int64)
-    words = np.asarray(words, dtype=np.float64).reshape(len(y), -1)
+    words = np.asarray(words, dtype=np.float64).reshape(len(y), len(LEXICAL))
     names = {g: i for i, g in enumerate(sorted(set(map(str, groups))))} if groups is not None else {}
-    group = np.array([names[str(g)] for g in groups], dtype=np.int64) if groups is not None else np.arange(len(y)) % 2
-    model = _boosted(words, keys, y, group)
+    group = np.array([names[str(g)] for g in groups], dtype=np.int64) if groups is not None else np.arange(len(y))
+    model = _both_halves(words, keys, y, group)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for fold in range(FOLDS):
         out = group % FOLDS == fold
-        if out.any() and model.trees and 0 < y[~out].sum() < (~out).sum():
-            other = _boosted(words[~out], [k for k, o in zip(keys, out) if not o], y[~out], group[~out])
+        if out.any() and 0 < y[~out].sum() < (~out).sum():
+            other = _both_halves(words[~out], [k for k, o in zip(keys, out) if not o], y[~out], group[~out])
             held.append((other.scores(words[out], [k for k, o in zip(keys, out) if o]), y[out]))
     if held:
         model.threshold = _best_cut(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
@@ -237,7 +251,7 @@ def _described(urls: DataFrame, url_col: str, *kept: Column) -> DataFrame:
 
 
 def fit(urls: DataFrame, labels: Column, groups: Column | None = None, id_col: str = "page_id", url_col: str = "url",
-        sample: int = SAMPLE) -> Trees:
+        sample: int = SAMPLE) -> Filter:
     """Train on ``sample`` rows whose ``labels`` (1: block) isn't null, the first in order of a hash of the id."""
     rows = (_described(urls, url_col, labels.cast("int").alias("label"), (F.lit(None) if groups is None else groups).cast("string").alias("grp"),
                        F.xxhash64(id_col, url_col).alias("turn"))
@@ -248,7 +262,7 @@ def fit(urls: DataFrame, labels: Column, groups: Column | None = None, id_col: s
                  None if groups is None else [r["grp"] for r in rows])
 
 
-def judge(urls: DataFrame, rules: Sequence[tuple[str, str]], model: Trees, id_col: str = "page_id",
+def judge(urls: DataFrame, rules: Sequence[tuple[str, str]], model: Filter, id_col: str = "page_id",
           url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` for every row; the rule's verdict, else the trees'.
 
@@ -267,7 +281,7 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str]], model: Trees, id_co
         for batch in batches:
             asked = pa.compute.is_valid(batch.column("words"))
             words, keys = batch.column("words").filter(asked), batch.column("keys").filter(asked)
-            found = shared.value.scores(words.flatten().to_numpy(zero_copy_only=False).reshape(len(words), -1), keys.to_pylist())
+            found = shared.value.scores(words.flatten().to_numpy(zero_copy_only=False).reshape(len(words), len(LEXICAL)), keys.to_pylist())
             scores = np.full(batch.num_rows, np.nan)
             scores[asked.to_numpy(zero_copy_only=False)] = found
             yield pa.RecordBatch.from_arrays(
