@@ -24,7 +24,7 @@ from attest.llm.common import hash_words, sliced, written
 
 K = 10
 #: Text in a block of the index, and how many terms of items (with repeats) are worked on in one pass over it.
-BLOCK_BYTES, PASS_TERMS = 8 << 20, 1 << 20
+BLOCK_BYTES, PASS_TERMS = 2 << 20, 1 << 20
 #: The bytes that belong to no term.
 SEPARATORS = np.ones(256, dtype=bool)
 SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -46,7 +46,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.diff(np.append(at, len(doc)))
         terms, starts = np.unique(hashes[at], return_index=True)
         arrays = [batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), lengths.astype(np.int64), terms,
-                  np.append(starts, len(at)).astype(np.int64), doc[at].astype(np.int32), counts.astype(np.int64)]
+                  np.append(starts, len(at)).astype(np.int64), doc[at].astype(np.int32), counts.astype(np.uint32)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([int((lengths > 0).sum())]), pa.array([int(lengths.sum())]), *(pa.array([a.tobytes()]) for a in arrays)],
             ["n_docs", "n_terms", "ids", "lengths", "terms", "starts", "places", "counts"])
@@ -96,14 +96,14 @@ class Block:
         self.ids, lengths = array("ids", np.int64), array("lengths", np.int64)
         self.m = 8 * (100 - 75 + 75 * lengths * n_docs // max(n_terms, 1))
         self.terms, self.starts = array("terms", np.uint64), array("starts", np.int64)
-        self.places, self.counts = array("places", np.int32), array("counts", np.int64)
+        self.places, self.counts = array("places", np.int32), array("counts", np.uint32)
         self.held: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
 
     def postings(self, at: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Places, impacts and greatest impact of the block's ``at``-th term."""
         if at not in self.held:
             part = slice(self.starts[at], self.starts[at + 1])
-            tf, places = self.counts[part], self.places[part]
+            tf, places = self.counts[part].astype(np.int64), self.places[part]
             impact = 1_000_000_000 * tf // (1000 * tf + self.m[places])
             self.held[at] = places, impact, int(impact.max())
         return self.held[at]

@@ -107,8 +107,7 @@ def test_files_give_back_all_ids(spark, tmp_path, block, parts):
     tokenids.write_ids(docs, folder, TOKENIZER.read_text(), block=block)
     got = sorted(map(tuple, tokenids.digests(spark, folder, parts).collect()), key=lambda r: r[1])
     want = plain_digest(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)))
-    assert got == [] or [(r[1], r[0], r[2], r[3]) for r in want] == [(r[0], r[1], r[2], r[3]) for r in
-                                                                    [(g[1], g[0], g[2], g[3]) for g in got]]
+    assert got == want
     assert len(got) == len(rows)
     blocks = spark.read.parquet(f"{folder}/blocks").collect()
     assert all(b["n"] <= block for b in blocks) and sum(b["n"] for b in blocks) == sum(r[2] for r in want)
@@ -253,7 +252,7 @@ def test_accumulators_are_limited():
     n = 50
     posting = [np.arange(3, dtype=np.int32), np.arange(n, dtype=np.int32)]
     row = {"ids": np.arange(n), "lengths": np.full(n, 10), "terms": np.array([5, 9], dtype=np.uint64), "starts": np.array([0, 3, 3 + n]),
-           "places": np.concatenate(posting), "counts": np.ones(3 + n, dtype=np.int64)}
+           "places": np.concatenate(posting), "counts": np.ones(3 + n, dtype=np.uint32)}
     block = lexical.Block({k: v.tobytes() for k, v in row.items()}, n, 10 * n)
     ids, scores = block.best(np.array([5, 9], dtype=np.uint64), np.array([900, 2]), 3, 0)
     assert ids.tolist() == [0, 1, 2] and len(set(scores.tolist())) == 1
