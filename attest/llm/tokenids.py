@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attest.llm.common import scratch, sliced, written
+from attest.llm.common import scratch, sliced, text_bytes, written
 
 #: Frequencies sum to 2**SCALE; a state lies in [2**31, 2**63) and gives off 32 bits at a time.
 SCALE, LOW = 20, np.uint64(1 << 31)
@@ -32,9 +32,13 @@ BLOCK, LANES, EVERY = 1 << 19, 1024, 256
 MAGIC = b"rANS\x01"
 _HEAD = struct.Struct("<5sIIIIII")  # magic, ids, lanes, steps between checkpoints, checkpoints, words, checksum of ids
 #: Chunks whose ids a worker keeps at most, and the longest that it keeps.
-KEPT_CHUNKS, KEPT_LENGTH = 800_000, 40
+KEPT_CHUNKS, KEPT_LENGTH = 1_200_000, 40
 
 _ID = np.dtype("<u4")
+#: How byte-level tokenizers write bytes: printable Latin-1 characters stand for themselves, the others follow from U+0100 on.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHERS = [b for b in range(256) if b not in _PLAIN]
+_BYTE_LEVEL = [chr(b) if b in _PLAIN else chr(0x100 + _OTHERS.index(b)) for b in range(256)]
 _S, _32, _MASK = np.uint64(SCALE), np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -68,17 +72,17 @@ class Table:
 
 def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = EVERY) -> bytes:
     """One block of at least one id. Steps run from the last to the first, so that decoding runs forward."""
-    n = len(ids)
+    n, index = len(ids), ids.astype(np.intp)
     lanes = max(1, min(lanes, n // 64))
     state = np.full(lanes, LOW, dtype=np.uint64)
+    if not table.freq[index].all():
+        raise ValueError("an id has no frequency in the shared table")
     words: list[np.ndarray] = []
     marks: list[tuple[np.ndarray, int]] = []
     given = 0
     for step in range((n - 1) // lanes, -1, -1):
-        part = ids[step * lanes:(step + 1) * lanes]
+        part = index[step * lanes:(step + 1) * lanes]
         freq, x = table.freq[part], state[:len(part)]
-        if not freq.all():
-            raise ValueError("an id has no frequency in the shared table")
         full = x >= freq << np.uint64(31 - SCALE + 32)
         words.append((x[full] & _MASK).astype(_ID))
         given += len(words[-1])
@@ -115,7 +119,7 @@ def decode(block: bytes, table: Table, part: int = 0, parts: int = 1) -> tuple[i
     for low in range(begin, end, lanes):
         k = min(lanes, n - low)
         slot = state[:k] & np.uint64((1 << SCALE) - 1)
-        ids = table.owner[slot]
+        ids = table.owner[slot.astype(np.intp)].astype(np.intp)
         x = table.freq[ids] * (state[:k] >> _S) + slot - table.below[ids]
         short = np.flatnonzero(x < LOW)
         x[short] = x[short] << _32 | words[place:place + len(short)].astype(np.uint64)
@@ -158,14 +162,15 @@ class Tokens(dict):
     """Chunk -> the bytes of its ids, by the tokenizers library at first sight; when full, forgets what was not used of late.
 
     A byte-level tokenizer ends a piece before every blank that follows something else than white space, so texts are
-    cut there and each chunk is encoded by itself. A blank and ASCII letters are one piece, which goes to the library's
-    model at once, and one mark behind them is a piece of its own. With any other kind of tokenizer a text is one chunk.
+    cut there and each chunk is encoded by itself. Latin letters behind a blank or none are one piece, which goes to the
+    library's model at once; a mark behind them and a line end between words are pieces of their own. With any other
+    kind of tokenizer a text is one chunk.
     """
 
     _cut = re.compile(r"(?<=\S)(?= )")
     _rare = re.compile(r"\s ")
-    _marked = re.compile(r"( [A-Za-z]+)([.,;:!?])").fullmatch
-    _word = re.compile(r" [A-Za-z]+").fullmatch
+    _word = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?)").fullmatch
+    _lines = re.compile(r" ?\S+(?:\n\S+)+").fullmatch
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -173,6 +178,7 @@ class Tokens(dict):
         super().__init__()
         self.older: dict[str, bytes] = {}
         self.library = Tokenizer.from_str(definition)
+        self.model = self.library.model
         held = json.loads(definition)
         before = held.get("pre_tokenizer") or {}
         self.cuts = (before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
@@ -183,13 +189,19 @@ class Tokens(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
-            if self.cuts and (marked := self._marked(chunk)):
-                return self[marked[1]] + self[marked[2]]
-            if self.cuts and self._word(chunk):
-                found = [x.id for x in self.library.model.tokenize("\u0120" + chunk[1:])]  # how such models write a blank
+            word = self._word(chunk) if self.cuts else None
+            if word and word[2]:
+                ids = self[word[1]] + self[word[2]]
+            elif word:
+                written_as = (chunk.replace(" ", _BYTE_LEVEL[32]) if chunk.isascii() else
+                              "".join([_BYTE_LEVEL[b] for b in chunk.encode()]))
+                found = self.model.tokenize(written_as)
+                ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
+            elif self.cuts and self._lines(chunk):
+                ids = self["\n"].join([self[part] for part in chunk.split("\n")])
             else:
                 found = self.library.encode(chunk, add_special_tokens=False).ids
-            ids = np.array(found, dtype=_ID).tobytes()
+                ids = struct.pack(f"<{len(found)}I", *found)
         if len(chunk) <= KEPT_LENGTH:
             if len(self) >= KEPT_CHUNKS // 2:
                 self.older = dict(self)
@@ -258,11 +270,10 @@ def _counted(ids: DataFrame, narrow: bool) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, dtype=np.int64)
         for batch in sliced(batches, 0):
-            for held in batch.column(0):
-                more = np.bincount(np.frombuffer(held.as_buffer(), "<u2" if narrow else _ID))
-                if len(more) > len(counts):
-                    counts, more = more, counts
-                counts[:len(more)] += more
+            more = np.bincount(text_bytes(batch.column(0))[0].view("<u2" if narrow else _ID))
+            if len(more) > len(counts):
+                counts, more = more, counts
+            counts[:len(more)] += more
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["id", "n"])
 
