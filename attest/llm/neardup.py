@@ -11,7 +11,8 @@
 4. Members of large buckets that the stars left in different components may still be linked. What such a pair
    shares is at most ``min(i, i') + min(o, o')``: i is what a member shares with the centre, o how many of its
    other shingles any other class has. Pairs that this bound rules out are never formed; the rest are compared.
-   So no link is lost to the star, and a group of near copies costs its size, not its square.
+   So no link is lost to the star. A group of near copies costs its size; a family of pages that are nearly but not
+   quite similar enough to each other still costs up to its square here.
 5. Every link is confirmed on the full sets; components are found by large-star/small-star rounds.
 """
 
@@ -33,6 +34,8 @@ BANDS, ROWS = 32, 4
 K = BANDS * ROWS
 #: Largest bucket that is compared pair by pair.
 SMALL = 16
+#: Members of a star that meet one copy of its centre's set.
+STAR = 256
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - K.bit_length() + 1)
@@ -105,11 +108,20 @@ def _linked(shared: str, a: str, b: str):
     return 7 * F.col(shared) >= 3 * (F.col(a) + F.col(b))
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) with ``n_a``, ``n_b`` and the number of common shingles."""
+def _compare(pairs: DataFrame, sets: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """(a, b) with ``n_a``, ``n_b`` and the number of common shingles.
+
+    Where one class stands on the left of many pairs, ``copies`` (a, copies) says how often its set is laid out;
+    ``pairs`` then have ``copies`` as well, and each meets one of them by a hash of its right side.
+    """
     left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("_a"))
     right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("_b"))
-    return (pairs.join(left, "a").join(right, "b")
+    on = ["a"]
+    if copies is not None:
+        left = left.join(copies, "a").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+        pairs = pairs.withColumn("_copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
+        on = ["a", "_copy"]
+    return (pairs.join(right, "b").join(left, on)
             .select("a", "b", F.size("_a").cast("long").alias("n_a"), F.size("_b").cast("long").alias("n_b"),
                     F.size(F.array_intersect("_a", "_b")).cast("long").alias("common")))
 
@@ -167,9 +179,12 @@ def _components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     large = written(_large_members(members, sets), "large")
     centres = large.groupBy("key").agg(
         F.min_by("set_id", F.struct(F.col("n") - F.col("held"), F.col("set_id"))).alias("centre"))
+    # A copy of the centre's set for every STAR members of its largest bucket, so that no task meets all of a star.
+    shares = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("_copies"))
+    copies = written(centres.join(shares, "key").groupBy(F.col("centre").alias("a")).agg(F.max("_copies").alias("copies")), "centres")
     edges = (large.join(centres, "key").where("set_id <> centre")
-             .select(F.col("centre").alias("a"), F.col("set_id").alias("b")).distinct())
-    compared = written(_compare(edges, sets), "stars")
+             .select(F.col("centre").alias("a"), F.col("set_id").alias("b")).distinct().join(copies, "a"))
+    compared = written(_compare(edges, sets, copies), "stars")
     links = written(_compare(_small_pairs(members), sets).where(_linked("common", "n_a", "n_b")).select("a", "b")
                     .unionByName(compared.where(_linked("common", "n_a", "n_b")).select("a", "b")), "links")
     component = connected_components(links)
@@ -192,6 +207,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is null and it is kept. Rows that share an id are one document with several texts. An empty table gives
     no rows; other columns are not read.
     """
+    return _judged(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``near_duplicates`` with the key of their set."""
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("_text"))
     kind = held.schema["doc_id"].dataType.simpleString()
     sketch = written(held.mapInArrow(_sketch, f"doc_id {kind}, n_shingles long, set_id binary, bands array<long>"),
@@ -202,16 +222,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = (classes.select("set_id", "rep").join(merged, "set_id", "left")
              .select("set_id", F.coalesce("component_id", "rep").alias("_name")))
     return (sketch.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("_name", "doc_id").alias("component_id"))
+            .select("doc_id", "n_shingles", "set_id", F.coalesce("_name", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without the documents that are near copies of another; repeated rows of an id go to one.
+    """The rows of ``docs`` without the documents that are near copies of another.
 
-    Rows without an id are all kept.
+    Of rows that share an id, one stays for each different set of shingles that no smaller id has a near copy of: the
+    first in order of text and of the whole row's hash. Texts without words are equal sets. Rows without an id are all kept.
     """
-    judged = near_duplicates(docs, id_col, text_col)
-    kept = judged.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    judged = _judged(docs, id_col, text_col)
+    none = F.lit(b"")
+    kept = (judged.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id"), F.coalesce("set_id", none).alias("_kept_set"))
+            .distinct())
+    names = [f.name for f in docs.schema.fields]
+    rows = docs.where(F.col(id_col).isNotNull()).select(
+        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("_row"), F.col(id_col).alias("_id"),
+        F.col(text_col).cast("binary").alias("_text"))
+    kinds = rows.schema
+    keyed = rows.mapInArrow(_set_ids, f"_row {kinds['_row'].dataType.simpleString()}, _id {kinds['_id'].dataType.simpleString()}, _text binary, _set binary")
+    named = keyed.join(kept, (F.col("_id") == F.col("_kept_id")) & (F.col("_set") == F.col("_kept_set")), "left_semi")
+    order = F.struct(F.coalesce("_text", none), F.xxhash64(F.to_json("_row")))
+    one = named.groupBy("_id", "_set").agg(F.min_by("_row", order).alias("_row"))
+    return one.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)]).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def _set_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the key of their text's set, empty for a text without words."""
+    for batch in sliced(batches, 2):
+        ids = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b"" for s in shingle_sets(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["_row", "_id", "_text", "_set"])

@@ -93,3 +93,14 @@ def test_signatures_agree_as_often_as_sets_do():
     a, b = shingle_sets(pa.array([base.encode(), edited(base, 12, 1).encode()]))
     same = len(set(a) & set(b)) / len(set(a) | set(b))
     assert abs((signature(a) == signature(b)).mean() - same) < 0.15
+
+
+def test_texts_of_one_id_are_judged_each_by_itself(spark):
+    """Text A of id 7 is near id 3 and goes; text B of id 7 is like no other and stays, whatever the order of rows."""
+    a, b = sentence(80, 21), sentence(80, 22)
+    rows = [(3, a, "x"), (7, edited(a, 1, 1), "x"), (7, b, "x"), (7, b, "x"), (7, "  " + b, "x"), (8, None, "x"), (8, "", "x")]
+    for order in (rows, rows[::-1]):
+        got = sorted(((r.doc_id, r.text) for r in deduplicated(edge_table(spark, order).repartition(3)).collect()), key=repr)
+        assert got == sorted([(3, a), (7, "  " + b), (8, "")], key=repr) or got == sorted([(3, a), (7, "  " + b), (8, None)], key=repr)
+    first = sorted(((r.doc_id, r.text) for r in deduplicated(edge_table(spark, rows)).collect()), key=repr)
+    assert first == sorted(((r.doc_id, r.text) for r in deduplicated(edge_table(spark, rows[::-1])).collect()), key=repr)
