@@ -299,7 +299,11 @@ def encode(docs: DataFrame, model_file: str, seed: int = 0, dropout: float = DRO
 
 def round_trip(docs: DataFrame, model_file: str, seed: int = 0, dropout: float = DROPOUT, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """``doc_id, n_pieces, pieces_crc32, lossless``: encode and decode every text in one pass, keeping digests only."""
+    """``doc_id, n_pieces, pieces_crc32, lossless``: encode and decode every text in one pass, keeping digests only.
+
+    Null and empty texts have no pieces and the checksum of nothing, and count as lossless; rows of one id and text are cut alike.
+    An empty table gives no rows; other columns are not read.
+    """
     return _run(docs, model_file, seed, dropout, id_col, text_col, digest=True)
 
 
@@ -339,7 +343,11 @@ def _run(docs: DataFrame, model_file: str, seed: int, dropout: float, id_col: st
 
 
 def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
-    """``doc_id, text``; null or no pieces decode to the empty text. Bytes that are no UTF-8 are replaced."""
+    """``doc_id, text``; null or no pieces decode to the empty text. Bytes that are no UTF-8 are replaced.
+
+    A piece that is null, negative or beyond the vocabulary stands for nothing. Repeated rows are decoded alike; a null id
+    stays null. An empty table gives no rows; other columns are not read.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.read(model_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,8 +355,10 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", pieces_c
         for batch in batches:
             lists = batch.column(1)
             lengths = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy().astype(np.int64)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            data, at = decoder.decode(flat, np.concatenate([[0], np.cumsum(lengths)]))
+            flat = pa.compute.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = (flat >= 0) & (flat < len(decoder.length))
+            bounds = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(lengths)])]
+            data, at = decoder.decode(flat[known], bounds)
             texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

@@ -215,7 +215,11 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
 
 
 def passing(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    Null, empty and blank texts have fewer words than the base asks for and go. Repeated rows go or stay together. An
+    empty table gives no rows.
+    """
     name = "_stats"
     while name in docs.columns or name == text_col:
         name += "_"

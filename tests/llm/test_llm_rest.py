@@ -270,6 +270,14 @@ def test_a_tree_equals_one_that_tries_every_cut():
 # ---- pieces
 
 
+@needs_model
+def test_ids_that_are_no_pieces_stand_for_nothing(spark):
+    whole = pieces.encode(edge_table(spark, [(1, "one two", "a")]), MODEL, dropout=0.0).first()["pieces"]
+    rows = [(1, whole), (2, [-1, *whole, 10**6, None]), (3, [None]), (4, None), (5, []), (None, whole)]
+    got = pieces.decode(spark.createDataFrame(rows, "doc_id long, pieces array<int>"), MODEL).collect()
+    assert {r.doc_id: r.text for r in got} == {1: "one two", 2: "one two", 3: "", 4: "", 5: "", None: "one two"}
+
+
 @needs_model
 def test_pieces_match_the_library_and_decode(spark):
     from sentencepiece import SentencePieceProcessor
