@@ -44,23 +44,29 @@ def carries(nodes: DataFrame, by: Sequence[str], levels: int, sums: Sequence[str
             node: str = "page", fan: int = FAN) -> DataFrame:
     """``by, node`` with the sums (0 at first), or the greatest values (null at first), of all earlier nodes within ``by``.
 
-    Nodes are pages at the lowest level; ``fan`` neighbouring nodes have one parent. A window sees the children of
-    one parent, and a parent's carry is handed down to them, so no task holds more than one node's children however
-    many pages an object has.
+    Nodes are pages at the lowest level; ``fan`` neighbouring nodes have one parent. What comes before a page is what
+    comes before each of its ancestors among the children of that one's parent, so a page adds one row for each level,
+    all levels are worked on in the same stages, and a window sees the children of one parent: no task holds more
+    than one node's children however many pages an object has.
     """
-    by, last = list(by), levels <= 1
-    rows = nodes.withColumn("_parent", F.lit(0).cast("long") if last else page_of(F.col(node), fan))
-    earlier = Window.partitionBy(*by, "_parent").orderBy(node).rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.select(*by, node, "_parent", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in sums],
-                      *[F.max(c).over(earlier).alias(c) for c in latest])
-    if last:
-        return own.drop("_parent")
-    above = rows.groupBy(*by, F.col("_parent").alias(node)).agg(*[F.sum(c).alias(c) for c in sums],
-                                                                *[F.max(c).alias(c) for c in latest])
-    base = carries(above, by, levels - 1, sums, latest, node, fan).withColumnsRenamed(
-        {node: "_parent", **{c: f"_{c}" for c in (*sums, *latest)}})
-    return own.join(base, [*by, "_parent"]).select(*by, node, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums],
-                                                   *[F.greatest(c, f"_{c}").alias(c) for c in latest])
+    by = list(by)
+
+    def ancestor(level: int) -> Column:
+        out = F.col(node)
+        for _ in range(level):
+            out = page_of(out, fan)
+        return out.cast("long")
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), ancestor(k).alias("node"), (
+        ancestor(k + 1) if k + 1 < levels else F.lit(0).cast("long")).alias("parent")) for k in range(levels)]))
+    climbed = nodes.select(*by, node, *sums, *latest, steps.alias("_up"))
+    totals = climbed.groupBy(*by, F.col("_up.level").alias("_level"), F.col("_up.parent").alias("_parent"), F.col("_up.node").alias("_node")).agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in latest])
+    earlier = Window.partitionBy(*by, "_level", "_parent").orderBy("_node").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*by, "_level", "_node", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in sums],
+                           *[F.max(c).over(earlier).alias(c) for c in latest])
+    asked = climbed.select(*by, node, F.col("_up.level").alias("_level"), F.col("_up.node").alias("_node"))
+    return asked.join(before, [*by, "_level", "_node"]).groupBy(*by, node).agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in latest])
 
 
 def _events(spans: DataFrame, points: DataFrame | None, by: Sequence[str], start: str, end: str, at: str, page: int) -> DataFrame:

@@ -518,3 +518,29 @@ def incompatibilities(spark, sf):
     customer = v.table(spark, sf, "customer")
     return rh.incompatibilities(customer.selectExpr(*_CONFIG), customer.selectExpr(*_EXPLORED),
                                 ["method", "n_surrogates", "grid_hz"])
+
+
+_ARM_TABLE = ["c_custkey AS exp_id", "arm", "rule", "min_lag_s", "CASE WHEN c_custkey % 6 = n THEN max_lag_s + 1 ELSE max_lag_s END AS max_lag_s"]
+_DEFINED = "(VALUES (0, 'short', 'fixed', CAST(NULL AS DOUBLE), CAST(3 AS DOUBLE)), (1, 'derived', 'half_period', CAST(1 AS DOUBLE), CAST(8 AS DOUBLE)))"
+_DEFINED += " AS d(n, arm, rule, min_lag_s, max_lag_s)"
+
+
+def _arm_json(side: str) -> str:
+    return (f"""concat('{{"rule":"', {side}.rule, '"', coalesce(',"min_lag_s":' || {side}.min_lag_s, ''), ',"max_lag_s":', """
+            f"""CAST({side}.max_lag_s AS DOUBLE), '}}')""")
+
+
+# Registered arms against those of an exploration that left some out and changed others.
+@query("arm_incompatibilities", f"""WITH a AS (SELECT c_custkey AS exp_id, arm, rule, min_lag_s, max_lag_s FROM customer CROSS JOIN {_DEFINED}),
+b AS (SELECT {', '.join(_ARM_TABLE)} FROM customer CROSS JOIN {_DEFINED} WHERE c_custkey % 5 <> n)
+SELECT a.exp_id, a.arm, CASE WHEN b.exp_id IS NULL THEN concat('arm ''', a.arm, ''' was not explored')
+  ELSE concat('arm ''', a.arm, ''' was explored as ', {_arm_json('b')}, ', registered as ', {_arm_json('a')}) END AS reason
+FROM a LEFT JOIN b ON b.exp_id = a.exp_id AND b.arm = a.arm WHERE b.exp_id IS NULL OR b.max_lag_s <> a.max_lag_s""")
+def arm_incompatibilities(spark, sf):
+    rows = ((0, "short", "fixed", None, 3.0), (1, "derived", "half_period", 1.0, 8.0))
+    arms = F.inline(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(arm).alias("arm"), F.lit(rule).alias("rule"),
+                                       F.lit(low).cast("double").alias("min_lag_s"), F.lit(high).alias("max_lag_s"))
+                              for n, arm, rule, low, high in rows]))
+    every = v.table(spark, sf, "customer").select("c_custkey", arms)
+    registered = every.select(F.col("c_custkey").alias("exp_id"), "arm", "rule", "min_lag_s", "max_lag_s")
+    return rh.arm_incompatibilities(registered, every.where("c_custkey % 5 <> n").selectExpr(*_ARM_TABLE))

@@ -20,6 +20,34 @@ def scratch(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_DOC = 500  # orders of a ledger document
+
+
+# Ledger documents as files; entries whose hash is none or that name no reader stay out.
+@query("read_ledger", v.sql("v_ledger", """SELECT url, start_b, end_b, sha256, first_read_at, first_read_by FROM v_ledger
+WHERE order_no % 50 <> 0 AND order_no % 61 <> 0"""))
+def read_ledger(spark, sf):
+    path = scratch(spark, "ledger-files")
+    entry = F.struct("url", F.array("start_b", "end_b").alias("byte_range"),
+                     F.when(F.col("order_no") % 50 == 0, "zz").otherwise(F.col("sha256")).alias("sha256"),
+                     F.date_format("first_read_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("first_read_at"),
+                     F.when(F.col("order_no") % 61 == 0, "").otherwise(F.col("first_read_by")).alias("first_read_by"))
+    docs = v.ledger(spark, sf).groupBy(F.expr(f"order_no div {_DOC}").alias("doc")).agg(F.collect_list(entry).alias("entries"))
+    text = F.to_json(F.struct(F.lit("ledger/v1").alias("schema"), "entries")).alias("value")
+    docs.select("doc", text).write.partitionBy("doc").text(path)  # one document a file
+    good, _ = ld.read_ledger(spark, path)
+    return good.select("url", "start_b", "end_b", "sha256", "first_read_at", "first_read_by")
+
+
+# Every document as a file of its own; size and hash come from the file.
+@query("file_inventory", "SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS bytes, sha256(text || chr(10)) AS sha256 FROM documents")
+def file_inventory(spark, sf):
+    path = scratch(spark, "files")
+    v.table(spark, sf, "documents").select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").text(path)
+    found = co.file_inventory(spark, path, "part-*")
+    return found.select(F.regexp_extract("uri", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), F.col("bytes").cast("long").alias("bytes"), "sha256")
+
+
 @query("ledger_sink", v.sql("v_ledger", "SELECT url, start_b, end_b, sha256, first_read_at, first_read_by FROM v_ledger"))
 def ledger_sink(spark, sf):
     path = scratch(spark, "ledger")
@@ -79,20 +107,28 @@ def record_corpus(spark, sf):
     return both.groupBy("exp_id").agg(F.count(F.lit(1)).alias("runs"), F.sum("bad").alias("unreadable"))
 
 
-@query("flatten_report", v.sql("v_tests", "SELECT segment AS run_id, kind, window_id, record, arm, fwd_lag, fwd_adj_p FROM v_tests WHERE kind IN ('real', 'mismatched')"))
+_REPORT = 20  # windows of a report
+
+
+@query("flatten_report", v.sql("v_tests", f"""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY arm, kind, window_id // {_REPORT} ORDER BY window_id) - 1 AS trial
+  FROM v_tests WHERE kind NOT IN ('real', 'mismatched') AND window_id // {_REPORT} IN (SELECT window_id // {_REPORT} FROM v_tests WHERE kind = 'real'))
+SELECT window_id // {_REPORT} AS run_id, kind, window_id, record, arm, fwd_lag, fwd_adj_p FROM v_tests WHERE kind IN ('real', 'mismatched')
+UNION ALL SELECT window_id // {_REPORT}, kind, trial, record, arm, fwd_lag, fwd_adj_p FROM ranked"""))
 def flatten_report(spark, sf):
+    """Reports of up to 20 windows with their mismatched tests, and the controls of the same numbers by arm and kind."""
+    run, test = F.expr(f"window_id div {_REPORT}").alias("run_id"), F.struct(F.col("fwd_lag").cast("int").alias("fwd_lag"), "fwd_adj_p")
+
     def arms(kind_tests):
-        test = F.struct(F.col("fwd_lag").cast("int").alias("fwd_lag"), "fwd_adj_p")
         return kind_tests.groupBy("window_id", "record", "segment", "freq_hz").agg(
             F.map_from_entries(F.collect_list(F.struct("arm", test.alias("t")))).alias("arms"))  # one entry per arm
     real = arms(v.real_tests(spark, sf))
     other = arms(v.mismatched_tests(spark, sf)).select("window_id", F.struct(F.lit("x").alias("partner"), "arms").alias("mismatched"))
-    rows = real.join(other, "window_id")
-    nothing = F.map_from_entries(F.array(F.struct(F.lit("short").alias("key"), F.map_from_entries(F.array(F.struct(
-        F.lit("null").alias("key"), F.array().cast("array<struct<fwd_lag:int,fwd_adj_p:double>>").alias("value")))).alias("value"))))
-    reports = rows.select(F.col("segment").alias("run_id"), F.array(F.struct("window_id", "record", "segment", "freq_hz", "arms", "mismatched")).alias("windows"),
-                          nothing.alias("synthetic"))
-    flat = co.flatten_report(reports)
+    windows = real.join(other, "window_id").groupBy(run).agg(
+        F.collect_list(F.struct("window_id", "record", "segment", "freq_hz", "arms", "mismatched")).alias("windows"))
+    trials = v.control_tests(spark, sf).groupBy(run, "arm", "kind").agg(F.sort_array(F.collect_list(F.struct("window_id", test.alias("t")))).alias("l"))
+    kinds = trials.groupBy("run_id", "arm").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.transform("l", lambda x: x["t"]).alias("l")))).alias("k"))
+    synthetic = kinds.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("arm", "k"))).alias("synthetic"))
+    flat = co.flatten_report(windows.join(synthetic, "run_id", "left"))
     return flat.select("run_id", "kind", "window_id", "record", "arm", F.col("fwd_lag").cast("long").alias("fwd_lag"), "fwd_adj_p")
 
 
