@@ -310,8 +310,8 @@ def _profile_sql(a: str, b: str, max_lag: int) -> str:
     def spread_of(z: str) -> str:
         return f"greatest(0, list_inner_product({z}, {z}) - list_sum({z}) * list_sum({z}) / {n})"
     cov = f"list_inner_product({x}, {y}) - list_sum({x}) * list_sum({y}) / {n}"
-    return (f"list_transform(range(1, {max_lag + 1}), lambda lag: CASE WHEN {spread_of(x)} * {spread_of(y)} > 1e-20 "
-            f"THEN abs({cov}) / sqrt({spread_of(x)} * {spread_of(y)}) ELSE 0 END)")
+    sums = f"list_transform(range(1, {max_lag + 1}), lambda lag: {{'c': {cov}, 'v': {spread_of(x)} * {spread_of(y)}}})"
+    return f"list_transform({sums}, lambda z: CASE WHEN z.v > 1e-20 THEN abs(z.c) / sqrt(z.v) ELSE 0 END)"
 
 
 @query("surrogates", v.sql("v_pairs", f"""WITH {_rotated_sql('v_pairs', 'window_id')},
