@@ -867,10 +867,10 @@ def neighbourhood(spark, sf):
 
 
 @query("lineage_ancestors", sql("v_exp v_run v_art", f"""WITH RECURSIVE {_EDGES}, walk AS (
-  SELECT concat('verdict:', run_id) AS start, concat('verdict:', run_id) AS node, 0 AS hops FROM v_run WHERE status = 'error'
+  SELECT concat('verdict:', run_id) AS start, concat('verdict:', run_id) AS node, 0 AS hops FROM v_run
   UNION SELECT w.start, e.dst, w.hops + 1 FROM walk w JOIN ed e ON e.src = w.node WHERE w.hops < 40)
 SELECT start, node, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY start, node"""))
 def lineage_ancestors(spark, sf):
     edges = ln.evidence_graph(_corpus(spark, sf))[1]
-    starts = view(spark, sf, "v_run").where("status = 'error'").select(F.concat(F.lit("verdict:"), "run_id").alias("id"))
+    starts = view(spark, sf, "v_run").select(F.concat(F.lit("verdict:"), "run_id").alias("id"))
     return ln.ancestors(edges, starts)
