@@ -1,8 +1,10 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from attest.functions import filters as fl
+from attest.functions.draws import draw, draw_sql
 from attest.functions.expressions import Arm, Settings, Stratum
 from attest.functions.ordering import exact_quantiles, ordered_index
 from attest.operators import coupling as cp
@@ -236,3 +238,10 @@ def test_surrogate_p_floor(spark):
     scores = spark.createDataFrame([("w", e, k, 1.0 if k == 0 else .1 * (e == "r")) for e in "fr" for k in range(20)], "w string, edge string, k int, score double")
     assert {r.p for r in cp.surrogate_p(scores, ["w", "edge"]).collect()} == {.05}
     assert {r.adj_p for r in cp.max_stat_p(scores, ["w"], "edge").collect()} == {.05}
+
+
+def test_draws_are_the_same_in_sql(spark):
+    rows = spark.range(200).select("id", draw(F.col("id") + 1, 7, "x", F.col("id")).alias("d"), draw(F.lit(0), F.col("id")).alias("none")).collect()
+    want = dict(duckdb.sql(f"SELECT id, {draw_sql('id + 1', 7, repr('x'), 'id')} FROM range(200) AS r(id)").fetchall())
+    assert {r.id: r.d for r in rows} == want and all(0 <= r.d <= r.id for r in rows) and {r.none for r in rows} == {None}
+    assert len(set(want.values())) > 60
