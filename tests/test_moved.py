@@ -8,6 +8,7 @@ from attest.functions.expressions import packed_hash
 from attest.functions.intervals import union_cover
 from attest.operators import audit as au
 from attest.operators import coverage as cov
+from attest.operators import lineage as ln
 
 
 def moved(df, column):
@@ -63,3 +64,15 @@ def test_artifacts_are_joined_once(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_graph_digest_moves_hashes_once(spark):
+    """One shuffle up to the lowest nodes; the digest is that of the tree over each hash once."""
+    nodes = spark.range(300).select(F.concat(F.lit("n"), "id").alias("id"))
+    edges = spark.range(500).select(F.concat(F.lit("n"), F.col("id") % 250).alias("src"), F.lit("to").alias("dst"))
+    got = ln.graph_digest(nodes, edges)
+    hashes = (nodes.select(F.sha2(F.concat(F.lit("n:"), ln.canonical(nodes, nodes.columns)), 256).alias("hash"))
+              .unionByName(edges.distinct().select(F.sha2(F.concat(F.lit("e:"), ln.canonical(edges, edges.columns)), 256).alias("hash"))))
+    assert got.first() == ln.tree_digest(hashes).first()
+    assert moved(got, "_h") == 1
+    assert ln.graph_digest(nodes, edges.repartition(7)).first() == got.first()
