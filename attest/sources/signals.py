@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -98,20 +98,32 @@ def read_signals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return decode_signals(files, headers), headers
 
 
+def code_points(text: Column) -> Column:
+    """Text -> array of its characters' code points."""
+    @F.pandas_udf("array<int>")
+    def points(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else np.frombuffer(t.encode("utf-32-le"), dtype="<i4") for t in texts], dtype=object)
+    return points(text)
+
+
+def _packed(digital: Column, pack: Callable[[np.ndarray], bytes]) -> Column:
+    @F.pandas_udf("binary")
+    def packed(arrays: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else pack(np.asarray(a, dtype=np.int64)) for a in arrays], dtype=object)
+    return packed(digital)
+
+
 def pack16(digital: Column) -> Column:
     """Array of 16-bit integers -> little-endian bytes."""
-    word = lambda x: F.lpad(F.hex(F.pmod(x, F.lit(65536))), 4, "0")
-    return F.unhex(F.array_join(F.transform(digital, lambda x: F.concat(F.substring(word(x), 3, 2), F.substring(word(x), 1, 2))), ""))
+    return _packed(digital, lambda a: (a & 0xFFFF).astype("<u2").tobytes())
 
 
 def pack212(digital: Column) -> Column:
     """Array of an even number of 12-bit integers -> three bytes per pair."""
-    def pair(i: Column) -> Column:
-        a, b = F.pmod(F.get(digital, 2 * i), F.lit(4096)), F.pmod(F.get(digital, 2 * i + 1), F.lit(4096))
-        ha, hb = F.lpad(F.hex(a), 3, "0"), F.lpad(F.hex(b), 3, "0")
-        return F.concat(F.substring(ha, 2, 2), F.substring(hb, 1, 1), F.substring(ha, 1, 1), F.substring(hb, 2, 2))
-    index = F.sequence(F.lit(0), (F.size(digital) / 2).cast("int") - 1)
-    return F.unhex(F.array_join(F.transform(index, pair), ""))
+    def triples(a: np.ndarray) -> bytes:
+        low, high = (a & 0xFFF).reshape(-1, 2).T
+        return np.stack([low & 0xFF, (low >> 8) | (high >> 8 << 4), high & 0xFF], axis=1).astype(np.uint8).tobytes()
+    return _packed(digital, triples)
 
 
 def sample_columns(names: Sequence[str]) -> Column:
