@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from attest.operators import signals as sg
 from attest.plans import views as v
 from attest.plans.registry import query
+from attest.sources.signals import code_points
 
 FS = 50.0
 
@@ -14,8 +15,7 @@ FS = 50.0
 def text_windows(spark, sf):
     """Each document's code points as one channel and the reversed text as the other."""
     docs = v.table(spark, sf, "documents")
-    codes = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c).cast("double"))
-    return docs.select(F.col("source").alias("record"), F.col("doc_id").alias("segment"), codes.alias("ecg")) \
+    return docs.select(F.col("source").alias("record"), F.col("doc_id").alias("segment"), code_points(F.col("text")).alias("ecg")) \
         .withColumn("resp", F.reverse("ecg"))
 
 
