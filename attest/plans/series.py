@@ -16,6 +16,7 @@ from attest.operators.signals import dominant_hz
 from attest.operators.specs import spec_problems
 from attest.plans import views as v
 from attest.plans.registry import query
+from attest.session import cut_lineage
 
 _IDX = "idx AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY ts, event_id) - 1 AS pos, epoch_us(ts) AS t_us FROM v_samples)"
 
@@ -426,7 +427,8 @@ def study_simple(spark, sf):
 
 @query("study_measures")
 def study_measures(spark, sf):
-    return m.measure_arms(cp.study_lag_window(*_study_inputs(spark, sf), VECTOR_STUDY, SURROGATES, 7), VECTOR_STUDY)
+    tests = cut_lineage(cp.study_lag_window(*_study_inputs(spark, sf), VECTOR_STUDY, SURROGATES, 7))  # the measures read them several times
+    return m.measure_arms(tests, VECTOR_STUDY)
 
 
 @query("dominant_hz")
