@@ -124,3 +124,20 @@ def test_study_is_tested_once(spark):
 
     plan = QUERIES["study_measures"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "embeddings.parquet" not in plan and "Python" not in plan and "MapIn" not in plan
+
+
+def test_compared_files_move_packed(spark):
+    from attest.operators import compare as cm
+
+    sha = "0" * 64
+    files = spark.createDataFrame([(1, "u", 0, 9, sha), (1, "u", 5, 9, "x"), (2, "u", 0, 9, None)], "run_id long, url string, start_b long, end_b long, sha256 string")
+    ledger = spark.createDataFrame([("u", 0, 9, sha, None, "e")], "url string, start_b long, end_b long, sha256 string, first_read_at timestamp_ntz, first_read_by string")
+    got = cm.compare_data(files, ledger, files.where("run_id = 1 AND start_b = 0"))
+    assert [(r.run_id, r.start_b, r.matches_ledger, r.matches_run) for r in got.orderBy("run_id", "start_b").collect()] == [
+        (1, 0, True, True), (1, 5, True, False), (2, 0, None, False)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = cm.compare_data(files, ledger, files).groupBy("run_id").agg(F.count_if("matches_ledger"), F.count_if("matches_run"))
+        assert moved(counts, "sha256") == 0 and moved(counts, "_own") >= 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
