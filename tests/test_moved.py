@@ -141,3 +141,34 @@ def test_compared_files_move_packed(spark):
         assert moved(counts, "sha256") == 0 and moved(counts, "_own") >= 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_checks_are_not_kept(spark, tmp_path):
+    """Counts, levels and claims read all checks in one pass: nothing is written, and checks that tell nothing do not move."""
+    import attest.plans.catalogue  # noqa: F401
+    from attest.plans import audit as pa
+
+    assert "parquet" in pa.every_check(spark, "/root/testdata/sf0.001", ())._jdf.queryExecution().optimizedPlan().toString()
+    rows = [("run.anchor", "r1", "ok", "a"), ("run.published", "r1", "ok", "b"), ("run.code", "r1", "ok", "c"), ("run.code", "r2", "warn", "d"),
+            ("run.data", "r2", "fail", "e"), ("holdout.x", "e1", "ok", "f"), ("holdout.x", "e2", "warn", "g"), ("run.anchor", "r3", "ok", "h"),
+            ("run.published", "r3", "ok", "i"), ("run.data", "r3", "fail", None)]
+    checks = spark.createDataFrame(rows, "name string, subject string, status string, detail string")
+    runs = spark.createDataFrame([("r1", "e1", True), ("r2", "e1", True), ("r3", "e2", True), ("r4", "e3", False)], "run_id string, exp_id string, holdout boolean")
+    got = au.evidence_levels(checks, runs, "lenient")
+    assert {r.run_id: (r.level, r.lenient) for r in got.collect()} == {
+        "r1": ("confirmatory", "confirmatory"), "r2": ("unverified", "registered"), "r3": ("unverified", "preregistered"), "r4": ("registered", "registered")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert moved(got, "detail") == 0 and "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+        families = spark.createDataFrame([("e1", "e1")], "family string, exp_id string")
+        replays = spark.createDataFrame([("r1", "o")], "run_id string, outcome string")
+        novel = spark.createDataFrame([("e1", 2, 1)], "exp_id string, records long, analysed_earlier long")
+        told = au.claims(checks, runs, families, replays, novel)
+        assert {r.run_id: (r.level, r.broken_links, r.weaker_links, r.family, r.replays) for r in told.collect()} == {
+            "r1": ("confirmatory", [], [], "e1", ["o"]), "r2": ("unverified", ["run.data: e"], ["run.code: d"], "e1", []),
+            "r3": ("unverified", [], ["holdout.x: g"], None, []), "r4": ("registered", [], [], None, [])}
+        assert "ReusedExchange" in told._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
