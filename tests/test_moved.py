@@ -172,3 +172,15 @@ def test_checks_are_not_kept(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_nodes_with_edges_are_walked(spark, monkeypatch):
+    """What leads nowhere is joined once at the end; cycles, diamonds and edges that are there twice change nothing."""
+    pairs = [("v", "r"), ("v", "r"), ("r", "x"), ("x", "r"), ("r", "a"), ("x", "a"), ("x", "y"), ("y", "b"), ("w", "y"), ("y", "y"), *[("r", f"leaf{i}") for i in range(50)]]
+    kept = []
+    monkeypatch.setattr(ln, "cut_lineage", lambda df: kept.append(df.count()) or df)
+    got = ln.ancestors(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([("v",), ("w",), ("b",), ("w",)], "id string"))
+    assert sorted(map(tuple, got.collect())) == sorted([
+        ("v", "v", 0), ("v", "r", 1), ("v", "x", 2), ("v", "a", 2), ("v", "y", 3), ("v", "b", 4), *[("v", f"leaf{i}", 2) for i in range(50)],
+        ("w", "w", 0), ("w", "y", 1), ("w", "b", 2), ("b", "b", 0)])
+    assert max(kept) < 10
