@@ -184,3 +184,24 @@ def test_only_nodes_with_edges_are_walked(spark, monkeypatch):
         ("v", "v", 0), ("v", "r", 1), ("v", "x", 2), ("v", "a", 2), ("v", "y", 3), ("v", "b", 4), *[("v", f"leaf{i}", 2) for i in range(50)],
         ("w", "w", 0), ("w", "y", 1), ("w", "b", 2), ("b", "b", 0)])
     assert max(kept) < 10
+
+
+def test_no_version_is_one_task(spark):
+    """Versions are told their successor where they are: no shuffle is dealt by the version's number alone."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        day = F.lit("2020-01-01").cast("timestamp_ntz")
+        rows = [(1, "d/a", 0, 9, "x", "e"), (1, "d/b", 0, 9, "x", "e"), (4, "d/a", 0, 9, "y", "e"), (6, "d/a", 0, 9, "y", "f"), (6, "d/c", 0, 9, None, "f")]
+        versions = spark.createDataFrame(rows, "seq long, url string, start_b long, end_b long, sha256 string, first_read_by string").withColumn("first_read_at", day)
+        got = cov.history_extends(versions)
+        # The only shuffle by the number alone is that of the distinct numbers.
+        assert [line.count("first_read_by") for line in shuffled_by(got, "seq")] == [0]
+        assert sorted((r.seq, r.problem) for r in got.collect()) == [(4, "a [0, 9]: sha256 changed"), (4, "b [0, 9]: entry removed"), (6, "a [0, 9]: first_read_by changed")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def shuffled_by(df, column):
+    """Inputs of the plan's shuffles that are dealt by ``column`` alone."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(rf"\(\d+\) Exchange\nInput \[\d+\]: (\[.*?\])\nArguments: hashpartitioning\({column}#\d+L?, \d+\)", text)
