@@ -158,6 +158,9 @@ def joined_crc(parts: list[tuple[int, int]]) -> int:
 # ---- tokenising ----------------------------------------------------------------------------------
 
 
+_MARKS = frozenset(".,;:!?")
+
+
 class Tokens(dict):
     """Chunk -> the bytes of its ids, by the tokenizers library at first sight; when full, forgets what was not used of late.
 
@@ -189,9 +192,17 @@ class Tokens(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
-            word = self._word(chunk) if self.cuts else None
-            if word and word[2]:
-                ids = self[word[1]] + self[word[2]]
+            # Most new chunks are plain words, with a mark behind them or not, which needs no pattern to be seen.
+            letters = chunk.isascii() and self.cuts
+            word = None
+            if letters and (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
+                word = chunk, ""
+            elif letters and chunk[-1:] in _MARKS and (chunk[1:-1] if chunk[:1] == " " else chunk[:-1]).isalpha():
+                word = chunk[:-1], chunk[-1]
+            elif self.cuts and not letters and (found := self._word(chunk)):
+                word = found[1], found[2]
+            if word and word[1]:
+                ids = self[word[0]] + self[word[1]]
             elif word:
                 written_as = (chunk.replace(" ", _BYTE_LEVEL[32]) if chunk.isascii() else
                               "".join([_BYTE_LEVEL[b] for b in chunk.encode()]))

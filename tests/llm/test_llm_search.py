@@ -266,3 +266,13 @@ def test_ranking_of_nothing(spark):
     assert lexical.ranked(docs, items).count() == 0
     assert lexical.ranked(edge_table(spark, [(1, None, "a"), (2, "", "a")]), items).count() == 0
     assert lexical.ranked(edge_table(spark, [(1, "a", "a")]), item_table(spark, [])).count() == 0
+
+
+def test_plain_words_need_no_pattern(monkeypatch):
+    tokens, asked = tokenids.Tokens(TOKENIZER.read_text()), []
+    plain = tokenids.Tokens._word
+    monkeypatch.setattr(tokens, "_word", lambda chunk: asked.append(chunk) or plain(chunk), raising=False)
+    for chunk in ("word", " word", " word,", "word.", " wörd!", " a1", " ,", ",", " ", " wo.rd", " a\nb.", " ªb", "a?!"):
+        want = np.array(tokens.library.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert tokens[chunk] == want, chunk
+    assert asked and not any(chunk.isascii() for chunk in asked)
