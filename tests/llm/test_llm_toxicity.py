@@ -68,3 +68,29 @@ def test_word_hashes():
     assert words[0] == words[2] and words[1] == words[3] and words[1] != words[4] and words[5] != words[6]
     long, _ = hash_words(pa.array([b"x" * 300 + b" " + b"x" * 299]))
     assert long[0][0] != long[0][1]
+
+
+def test_every_labelled_row_and_long_texts_are_trained_on(spark, monkeypatch):
+    """Words of rows beyond the first group, and behind the 4,000th word, are known afterwards."""
+    monkeypatch.setattr(T, "FIRST", 40)
+    monkeypatch.setattr(T, "GROUP", 100)
+    rows = [(i, sentence(20, i) + " ", int(i % 2 == 0)) for i in range(800)]
+    rows = [(i, t + ("vile" if y else "kind"), y) for i, t, y in rows]
+    rows += [(i, sentence(20, i) + " " + "w " * 4100 + ("foul" if i % 2 else "fair"), i % 2) for i in range(1000, 1040)]
+    seen = []
+    real = T._averaged
+    monkeypatch.setattr(T, "_averaged", lambda docs, labels, *rest: (seen.append(labels.count()), real(docs, labels, *rest)))
+    docs = edge_table(spark, [(i, t, None) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    net = T.fit(docs, labels)
+    assert seen and seen[0] > 500
+    got = net.scores(*T.buckets(pa.array([sentence(20, 5000 + i) + w for i, w in enumerate((" vile", " kind"))])))
+    assert got[0] >= 0.5 > got[1]
+    got = net.logits(*T.buckets(pa.array([("w " * 4100 + w).encode() for w in ("foul", "fair")])))
+    assert got[0] > got[1] + 1
+    again = T.fit(docs.repartition(5), labels)
+    assert np.array_equal(net.table, again.table) and np.array_equal(net.thresholds, again.thresholds)
+
+
+def test_no_cut_between_equal_margins():
+    assert T._threshold(np.array([0.0, 1.0, 1.0, 2.0]), np.array([0, 0, 1, 1]), 1.0, np.array([5, 1, 2, 5])) == 0.5
