@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GAIN = r"^([-+0-9.eE]+)?(?:\((-?\d+)\))?(?:/(\S+))?$"
@@ -37,11 +37,12 @@ def parse_headers(texts: DataFrame, text: str = "text") -> DataFrame:
     out = specs.select("record", "channel", "n_signals", "fs", "n_samples", named.alias("name"), F.get(f, F.lit(0)).alias("file"),
                        F.get(f, F.lit(1)).alias("fmt"), scale.alias("gain"), F.coalesce(part(2).cast("bigint"), zero).alias("baseline"),
                        F.coalesce(part(3), F.lit("mV")).alias("units"), gain.rlike(GAIN).alias("_ok"))
-    whole = out.groupBy("record").agg(F.countDistinct("fmt", "file").alias("_kinds"), F.every(F.col("fmt").isin("16", "212")).alias("_known"),
-                                      F.every("_ok").alias("_gains"))
-    problem = (F.when(~F.col("_gains"), "unreadable gain field")
-               .when((F.col("_kinds") != 1) | ~F.col("_known"), "only single-file format 16 or 212 is supported"))
-    return (out.drop("_ok").join(whole, "record").withColumn("problem", problem).drop("_kinds", "_known", "_gains")
+    whole = Window.partitionBy("record")  # a record's channels
+    known, gains = F.every(F.col("fmt").isin("16", "212")).over(whole), F.every("_ok").over(whole)
+    kinds = F.size(F.collect_set(F.when(F.col("fmt").isNotNull() & F.col("file").isNotNull(), F.struct("fmt", "file"))).over(whole))
+    problem = (F.when(~gains, "unreadable gain field")
+               .when((kinds != 1) | ~known, "only single-file format 16 or 212 is supported"))
+    return (out.withColumn("problem", problem).drop("_ok")
             .withColumn("bytes_per_sample", F.when(F.col("fmt") == "16", 2.0).otherwise(1.5)))
 
 

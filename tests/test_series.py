@@ -245,3 +245,12 @@ def test_draws_are_the_same_in_sql(spark):
     want = dict(duckdb.sql(f"SELECT id, {draw_sql('id + 1', 7, repr('x'), 'id')} FROM range(200) AS r(id)").fetchall())
     assert {r.id: r.d for r in rows} == want and all(0 <= r.d <= r.id for r in rows) and {r.none for r in rows} == {None}
     assert len(set(want.values())) > 60
+
+
+def test_headers_of_one_record_are_judged_together_without_a_join(spark):
+    """Two texts that name one record: a channel in an unknown format or another file spoils all of its channels."""
+    texts = ["a 1 250 8\na.dat 16 100", "a 1 250 8\nb.dat 16 100", "b 2 250 8\nb.dat 16 100\nb.dat 16 100", "c 1 250 8\nc.dat 16 x"]
+    heads = src.parse_headers(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {(r.record, r.channel, (r.problem or "")[:10]) for r in heads.collect()} == {
+        ("a", 0, "only singl"), ("b", 0, ""), ("b", 1, ""), ("c", 0, "unreadable")}
+    assert heads.count() == 5 and "Join" not in heads._jdf.queryExecution().optimizedPlan().toString()
