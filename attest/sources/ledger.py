@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -32,9 +34,10 @@ def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             raise
         empty = spark.createDataFrame([], EMPTY)
         return empty, spark.createDataFrame([], "file string, index int, rule string, message string")
-    problems = validate(raw, [*ledger_rules(), ("bounds", F.coalesce(F.col("bounds") == 2, F.lit(False)), "byte_range needs two bounds")],
-                        ["file", "index"])
-    good = raw.join(problems.select("file", "index").distinct(), ["file", "index"], "left_anti")
+    rules = [*ledger_rules(), ("bounds", F.coalesce(F.col("bounds") == 2, F.lit(False)), "byte_range needs two bounds")]
+    problems = validate(raw, rules, ["file", "index"])
+    # A rule is about its own row, so the well-formed ones are known where they are read.
+    good = raw.where(reduce(Column.__and__, [F.coalesce(ok, F.lit(False)) for _, ok, _ in rules]))
     moment = F.to_timestamp("first_read_at").cast("timestamp_ntz")
     return good.select("url", "start_b", "end_b", "sha256", moment.alias("first_read_at"), "first_read_by", "note"), problems
 
