@@ -16,6 +16,8 @@ from attest.session import shared_folder
 SPACE = r"[\x20\x09-\x0D]"
 #: Bytes of text that are worked on at a time in numpy; a larger text is worked on alone.
 SLICE_BYTES = 2 << 20
+#: The same where numpy holds about 50 bytes for each byte of text: what a worker holds counts beside the JVM's heap.
+WIDE_SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

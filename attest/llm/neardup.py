@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import hash_words, mix, sliced, written
+from attest.llm.common import WIDE_SLICE_BYTES, hash_words, mix, sliced, written
 from attest.operators.coverage import connected_components
 
 WORDS = 5
@@ -77,7 +77,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, 1):
+    for batch in sliced(batches, 1, WIDE_SLICE_BYTES):
         sets = shingle_sets(batch.column(1))
         some = np.array([len(s) > 0 for s in sets], dtype=bool)
         if batch.column(0).null_count:
@@ -93,7 +93,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, 1):
+    for batch in sliced(batches, 1, WIDE_SLICE_BYTES):
         sets = shingle_sets(batch.column(1))
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         held = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64)
@@ -232,24 +232,33 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Of rows that share an id, one stays for each different set of shingles that no smaller id has a near copy of: the
     first in order of text and of the whole row's hash. Texts without words are equal sets. Rows without an id are all kept.
     """
-    judged = _judged(docs, id_col, text_col)
+    judged = _judged(docs, id_col, text_col).where("doc_id is not null")
+    ids = written(judged.groupBy("doc_id").agg(F.max("kept").alias("_any"), (F.count(F.lit(1)) > 1).alias("_many"))
+                  .where("_any").select(F.col("doc_id").alias("_kept_id"), "_many"), "kept")
+    # An id of one row needs no look at its text again, and its row moves at most once.
+    out = (docs.join(ids.where("not _many"), F.col(id_col) == F.col("_kept_id"), "left_semi")
+           .unionByName(docs.where(F.col(id_col).isNull())))
+    many = ids.where("_many").select("_kept_id")
+    if many.isEmpty():
+        return out
     none = F.lit(b"")
-    kept = (judged.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id"), F.coalesce("set_id", none).alias("_kept_set"))
-            .distinct())
+    kept = (judged.where("kept").join(many, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+            .select(F.col("doc_id").alias("_kept_id"), F.coalesce("set_id", none).alias("_kept_set")).distinct())
     names = [f.name for f in docs.schema.fields]
-    rows = docs.where(F.col(id_col).isNotNull()).select(
+    rows = docs.join(many, F.col(id_col) == F.col("_kept_id"), "left_semi").select(
         F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("_row"), F.col(id_col).alias("_id"),
         F.col(text_col).cast("binary").alias("_text"))
     kinds = rows.schema
-    keyed = rows.mapInArrow(_set_ids, f"_row {kinds['_row'].dataType.simpleString()}, _id {kinds['_id'].dataType.simpleString()}, _text binary, _set binary")
+    keyed = rows.mapInArrow(_set_ids, f"_row {kinds['_row'].dataType.simpleString()}, _id {kinds['_id'].dataType.simpleString()}, _set binary")
     named = keyed.join(kept, (F.col("_id") == F.col("_kept_id")) & (F.col("_set") == F.col("_kept_set")), "left_semi")
-    order = F.struct(F.coalesce("_text", none), F.xxhash64(F.to_json("_row")))
+    text = F.col(f"_row.c{names.index(text_col)}").cast("binary")
+    order = F.struct(F.coalesce(text, none), F.xxhash64(F.to_json("_row")))
     one = named.groupBy("_id", "_set").agg(F.min_by("_row", order).alias("_row"))
-    return one.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)]).unionByName(docs.where(F.col(id_col).isNull()))
+    return out.unionByName(one.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)]))
 
 
 def _set_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows with the key of their text's set, empty for a text without words."""
-    for batch in sliced(batches, 2):
+    for batch in sliced(batches, 2, WIDE_SLICE_BYTES):
         ids = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b"" for s in shingle_sets(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["_row", "_id", "_text", "_set"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], ["_row", "_id", "_set"])

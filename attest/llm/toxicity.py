@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import hash_words, sliced, written
+from attest.llm.common import WIDE_SLICE_BYTES, hash_words, sliced, written
 
 PREFIXES = (4, 6)
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
@@ -280,7 +280,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.nd
     Labels stand before the texts of their id; texts without one are passed over.
     """
     group, known, label, samples, labels, held = None, None, 0, [], [], 0
-    for batch in sliced(batches, 3):
+    for batch in sliced(batches, 3, WIDE_SLICE_BYTES):
         words, bounds = buckets(batch.column(3))
         of, ids, toxic = (batch.column(i).to_pylist() for i in range(3))
         for i in range(batch.num_rows):
@@ -370,7 +370,7 @@ def _languages(docs: DataFrame) -> dict[str, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(len(number) * GUESS, dtype=np.int64)
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, WIDE_SLICE_BYTES):
             (hashes,), bounds = hash_words(batch.column(1))
             lang = np.array([number.get(name, -1) for name in batch.column(0).to_pylist()], dtype=np.int64)
             of = np.repeat(lang, np.diff(bounds))
@@ -391,7 +391,7 @@ def _margins(docs: DataFrame, rows: DataFrame, net: Network) -> tuple[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pickle.loads(shared.value)
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, WIDE_SLICE_BYTES):
             words, bounds = buckets(batch.column(1))
             margin = np.clip(np.rint(held.logits(words, bounds) * FINE), -1 << 14, 1 << 14).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(margin), pa.array(held.language(words, bounds))],
@@ -451,7 +451,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     names = net.languages or [None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, WIDE_SLICE_BYTES):
             words, bounds = buckets(batch.column(1))
             guessed = [names[i] for i in net.language(words, bounds)]
             yield pa.RecordBatch.from_arrays(
@@ -473,7 +473,7 @@ def clean(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, at):
+        for batch in sliced(batches, at, WIDE_SLICE_BYTES):
             words, bounds = buckets(batch.column(at))
             yield batch.filter(pa.array(net.scores(words, bounds) < 0.5))
 

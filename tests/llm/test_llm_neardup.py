@@ -104,3 +104,18 @@ def test_texts_of_one_id_are_judged_each_by_itself(spark):
         assert got == sorted([(3, a), (7, "  " + b), (8, "")], key=repr) or got == sorted([(3, a), (7, "  " + b), (8, None)], key=repr)
     first = sorted(((r.doc_id, r.text) for r in deduplicated(edge_table(spark, rows)).collect()), key=repr)
     assert first == sorted(((r.doc_id, r.text) for r in deduplicated(edge_table(spark, rows[::-1])).collect()), key=repr)
+
+
+def test_texts_of_single_ids_are_not_read_again(spark):
+    """No Python task gets the texts again, and the text's column is shuffled at most once."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, sentence(30, i % 7), "x") for i in range(20)] + [(None, "a", "x"), (21, None, "x"), (22, "", "x")]
+        got = deduplicated(edge_table(spark, rows))
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = got._jdf.queryExecution().explainString(mode)
+        assert "MapInArrow" not in plan
+        assert sum("text#" in one for one in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan)) == 1
+        assert sorted((r.doc_id for r in got.collect()), key=repr) == sorted([*range(7), None, 21, 22], key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
