@@ -158,7 +158,8 @@ def joined_crc(parts: list[tuple[int, int]]) -> int:
 # ---- tokenising ----------------------------------------------------------------------------------
 
 
-_MARKS = frozenset(".,;:!?")
+#: A run of these behind a word is one piece; an apostrophe may begin a contraction.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Tokens(dict):
@@ -166,13 +167,13 @@ class Tokens(dict):
 
     A byte-level tokenizer ends a piece before every blank that follows something else than white space, so texts are
     cut there and each chunk is encoded by itself. Latin letters behind a blank or none are one piece, which goes to the
-    library's model at once; a mark behind them and a line end between words are pieces of their own. With any other
+    library's model at once; the marks behind them and a line end between words are pieces of their own. With any other
     kind of tokenizer a text is one chunk.
     """
 
     _cut = re.compile(r"(?<=\S)(?= )")
-    _rare = re.compile(r"\s ")
-    _word = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?)").fullmatch
+    _rare = re.compile(r"\s |\0")
+    _word = re.compile(rf"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([{re.escape(_MARKS)}]*)").fullmatch
     _lines = re.compile(r" ?\S+(?:\n\S+)+").fullmatch
 
     def __init__(self, definition: str):
@@ -186,20 +187,21 @@ class Tokens(dict):
         before = held.get("pre_tokenizer") or {}
         self.cuts = (before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
                      and before.get("use_regex", True) and not held.get("normalizer")
-                     and not any(x.get("lstrip") or x.get("rstrip") or " " in x["content"] or x["content"].isalpha()
-                                 or x["content"] in ".,;:!?" for x in held.get("added_tokens") or []))
+                     and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or " " in x["content"]
+                                 or x["content"][:1].isalpha() or x["content"] in ".,;:!?" for x in held.get("added_tokens") or []))
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
-            # Most new chunks are plain words, with a mark behind them or not, which needs no pattern to be seen.
-            letters = chunk.isascii() and self.cuts
+            # Most new chunks are plain words, with marks behind them or not, which needs no pattern to be seen.
             word = None
-            if letters and (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
-                word = chunk, ""
-            elif letters and chunk[-1:] in _MARKS and (chunk[1:-1] if chunk[:1] == " " else chunk[:-1]).isalpha():
-                word = chunk[:-1], chunk[-1]
-            elif self.cuts and not letters and (found := self._word(chunk)):
+            if not self.cuts:
+                pass
+            elif chunk.isascii():
+                bare = chunk.rstrip(_MARKS)
+                if (bare[1:] if bare[:1] == " " else bare).isalpha():
+                    word = bare, chunk[len(bare):]
+            elif found := self._word(chunk):
                 word = found[1], found[2]
             if word and word[1]:
                 ids = self[word[0]] + self[word[1]]
@@ -228,8 +230,10 @@ class Tokens(dict):
             return self[text]
         if self._rare.search(text):
             return b"".join(map(self.__getitem__, self._cut.split(text)))
-        first, *rest = text.split(" ")
-        return (self[first] if first else b"") + b"".join([self[" " + x] for x in rest])
+        chunks = text.replace(" ", "\0 ").split("\0")
+        if not chunks[0]:
+            del chunks[0]
+        return b"".join(map(self.__getitem__, chunks))
 
 
 @lru_cache(maxsize=2)

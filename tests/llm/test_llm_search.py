@@ -276,3 +276,25 @@ def test_plain_words_need_no_pattern(monkeypatch):
         want = np.array(tokens.library.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
         assert tokens[chunk] == want, chunk
     assert asked and not any(chunk.isascii() for chunk in asked)
+
+
+@needs_tokenizer
+def test_marks_behind_a_word_go_by_themselves():
+    """Runs of marks are pieces of their own, so that a word before them is not shown to the library's whole path."""
+    tokens, asked = tokenids.Tokens(TOKENIZER.read_text()), []
+    assert tokens.cuts
+    library = tokens.library
+
+    class Watched:
+        def encode(self, chunk, **how):
+            asked.append(chunk)
+            return library.encode(chunk, **how)
+
+    tokens.library = Watched()
+    marks = [a + b * n for a in ("", ".", ",", "!", "_", "<|", "\\", "]^") for b in "$%#&*!`" for n in (0, 1, 2, 3, 5)]
+    words = [w + m for w in ("Thon", "quexa", "éanment", "entzchsch") for m in marks]
+    odd = ["it's$$", "don't.", "'s", "a'", "x'll!!", "a1$$", "$$a", "<|endoftext|>", "word<|endoftext|>", "word$<|endoftext|>!!", "a\0b", "\0", "\0 c", "ab×$", "ab·"]
+    for text in [*words, *odd, " ".join(words), " " + " ".join(odd) + " ", "a  b \n c$$$ ", " ", "\0 a\0 b"]:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(tokens.ids(text), "<u4").tolist() == want, text
+    assert not [x for x in asked if re.fullmatch(r" ?[^\W\d_]+[$%#&*!`.,]+", x)]
