@@ -8,6 +8,8 @@ import numpy as np
 _FLAT = 1e-12
 #: Scores that are nearer than this differ by rounding only and count as equal.
 _SAME = 1e-9
+#: Values of the shifted series that are laid out at a time.
+_CELLS = 1 << 18
 
 
 def centred(x: np.ndarray) -> np.ndarray:
@@ -20,31 +22,28 @@ def centred(x: np.ndarray) -> np.ndarray:
 def _best(a: np.ndarray, b: np.ndarray, max_lag: int) -> tuple[np.ndarray, np.ndarray]:
     """For each lag limit 1..max_lag: the best |corr(a[t], b[t + lag])| up to it and its lag.
 
-    ``a`` may be a matrix with one series per row; ties go to the smaller lag.
+    ``a`` may be a matrix with one series per row; ties go to the smaller lag. Lags are worked on in blocks, each of which
+    meets all rows in one product.
     """
     rows = np.atleast_2d(a)
     n = rows.shape[1]
     # A stretch is flat when it varies by next to nothing of what the whole series does, whatever the unit.
-    least = _FLAT * np.sqrt((rows * rows).mean(axis=1) * ((b * b).mean() if b.ndim == 1 else (b * b).mean(axis=1)))
+    least = _FLAT * np.sqrt((rows * rows).mean(axis=1) * (b * b).mean())[:, None]
     sums, squares = np.cumsum(rows, axis=1), np.cumsum(rows * rows, axis=1)
     scores = np.zeros((len(rows), max_lag))
-    for lag in range(1, max_lag + 1):
-        m = n - lag
-        if m < 2:
-            break
-        head, tail = rows[:, :m], b[lag:] if b.ndim == 1 else b[:, lag:]
-        mean_a = sums[:, m - 1] / m
-        var_a = squares[:, m - 1] / m - mean_a ** 2
-        if b.ndim == 1:
-            level = tail - tail.mean()
-            cov, var_b = head @ level / m, float(level @ level) / m
-        else:
-            mean_b = tail.mean(axis=1)
-            cov = np.einsum("ij,ij->i", head, tail) / m - mean_a * mean_b
-            var_b = np.einsum("ij,ij->i", tail, tail) / m - mean_b ** 2
-        scale = np.sqrt(np.clip(var_a, 0, None) * np.clip(var_b, 0, None))
+    last, block = min(max_lag, n - 2), max(1, _CELLS // max(1, n))
+    for first in range(1, last + 1, block):
+        lags = np.arange(first, min(first + block - 1, last) + 1)
+        m = n - lags
+        at = np.arange(n)[:, None] + lags
+        inside = at < n
+        tail = np.where(inside, b[np.minimum(at, n - 1)], 0.0)
+        level = np.where(inside, tail - tail.sum(axis=0) / m, 0.0)
+        var_a = squares[:, m - 1] / m - (sums[:, m - 1] / m) ** 2
+        var_b = np.einsum("ij,ij->j", level, level) / m
+        scale = np.sqrt(np.clip(var_a, 0, None) * var_b)
         with np.errstate(invalid="ignore", divide="ignore"):
-            scores[:, lag - 1] = np.where(scale > least, np.abs(cov) / scale, 0.0)
+            scores[:, lags - 1] = np.where(scale > least, np.abs(rows @ level / m) / scale, 0.0)
     top = np.maximum.accumulate(scores, axis=1)
     fresh = np.concatenate([np.ones((len(rows), 1), bool), scores[:, 1:] > top[:, :-1]], axis=1)
     lags = np.maximum.accumulate(np.where(fresh, np.arange(1, max_lag + 1), 0), axis=1)

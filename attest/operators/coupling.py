@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.functions.draws import draw
+from attest.functions.draws import draw, draws
 from attest.functions.expressions import Arm, Settings, arm_lag
 from attest.functions.lagged import judge, pair_scores
 from attest.functions.spread import spread
@@ -117,10 +117,10 @@ def coupling_tests(todo: DataFrame, n_surrogates: int, keys: Sequence[str]) -> D
     an arm's lag window, or too short to be rotated, gets a row without scores
     and with a ``reason``; the registered lag stays as it is.
     """
-    length = F.least(F.size("source"), F.size("target"))
-    rows = todo.withColumn("shifts", shifts(n_surrogates, F.col("seed"), length)) \
+    # Rotations are those of ``shifts``, drawn where they are used; a missing seed is left out of what is spelt.
+    rows = todo.withColumn("drawn", F.coalesce(F.concat(F.col("seed").cast("string"), F.lit("|")), F.lit(""))) \
         .withColumn("limits", F.transform("arms", lambda a: a["max_lag"].cast("int"))) \
-        .withColumn("names", F.col("arms.arm")).select(*keys, "seed", "source", "target", "shifts", "limits", "names")
+        .withColumn("names", F.col("arms.arm")).select(*keys, "seed", "source", "target", "drawn", "limits", "names")
     kinds = dict(todo.dtypes)
     head = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "seed"])
 
@@ -130,8 +130,8 @@ def coupling_tests(todo: DataFrame, n_surrogates: int, keys: Sequence[str]) -> D
             for row in batch.to_dict("records"):
                 limits, length = [int(x) for x in row["limits"]], min(len(row["source"]), len(row["target"]))
                 fits = [x for x in limits if 1 <= x <= length - 2]
-                tests = iter(judge(np.asarray(row["source"]), np.asarray(row["target"]), np.asarray(row["shifts"]), fits)
-                             if fits else [])
+                tests = iter(judge(np.asarray(row["source"]), np.asarray(row["target"]),
+                                   1 + draws(length - 1, row["drawn"], n_surrogates), fits) if fits else [])
                 common = {c: row[c] for c in [*keys, "seed"]}
                 for name, limit in zip(row["names"], limits):
                     short = limit not in fits

@@ -254,3 +254,29 @@ def test_headers_of_one_record_are_judged_together_without_a_join(spark):
     assert {(r.record, r.channel, (r.problem or "")[:10]) for r in heads.collect()} == {
         ("a", 0, "only singl"), ("b", 0, ""), ("b", 1, ""), ("c", 0, "unreadable")}
     assert heads.count() == 5 and "Join" not in heads._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rotations_of_tests_are_drawn_as_spark_draws_them(spark):
+    """The rows that go to the tests carry no list of rotations; those drawn there are the same."""
+    from attest.functions.draws import draws
+    from attest.operators.coupling import coupling_tests, shifts
+    rows = spark.createDataFrame([(7, 5), (2_000_003, 64), (-4, 2), (None, 9)], "seed long, n int")
+    for r in rows.withColumn("h", shifts(25, F.col("seed"), F.col("n"))).collect():
+        before = "" if r.seed is None else f"{r.seed}|"
+        assert (1 + draws(r.n - 1, before, 25)).tolist() == r.h
+    todo = spark.createDataFrame([(1, 7, [1.0, 2.0, 4.0, 3.0, 1.0], [2.0, 1.0, 0.0, 5.0, 1.0])], "id int, seed long, source array<double>, target array<double>")
+    got = coupling_tests(todo.withColumn("arms", F.array(F.struct(F.lit("a").alias("arm"), F.lit(2).alias("max_lag")))), 25, ["id"])
+    assert "sha2" not in got._jdf.queryExecution().toString() and got.count() == 1
+
+
+def test_lags_meet_all_rotations_in_one_product(monkeypatch):
+    """Scores equal a plain correlation at each lag, however many lags a block has."""
+    from attest.functions import lagged
+    rng = np.random.default_rng(3)
+    for cells in (1, 70, 1 << 18):
+        monkeypatch.setattr(lagged, "_CELLS", cells)
+        for n in (4, 5, 33):
+            a, b = rng.normal(size=(3, n)), rng.normal(size=n)
+            top, _ = lagged._best(a, b, 6)
+            plain = np.array([[abs(np.corrcoef(x[:n - k], b[k:])[0, 1]) if k <= n - 2 else 0.0 for k in range(1, 7)] for x in a])
+            assert np.allclose(top, np.maximum.accumulate(plain, axis=1), atol=1e-12)
