@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attest.functions.batches import in_pieces
+
 GAIN = r"^([-+0-9.eE]+)?(?:\((-?\d+)\))?(?:/(\S+))?$"
 CHUNK_FRAMES = 1 << 16
 
@@ -46,7 +49,7 @@ def parse_headers(texts: DataFrame, text: str = "text") -> DataFrame:
             .withColumn("bytes_per_sample", F.when(F.col("fmt") == "16", 2.0).otherwise(1.5)))
 
 
-def _unpack(raw: bytes, fmt: str) -> np.ndarray:
+def _unpack(raw: bytes | memoryview, fmt: str) -> np.ndarray:
     if fmt == "16":
         return np.frombuffer(raw[:len(raw) // 2 * 2], dtype="<i2").astype(np.int64)
     triples = np.frombuffer(raw[:len(raw) // 3 * 3], dtype=np.uint8).reshape(-1, 3).astype(np.int64)
@@ -76,18 +79,21 @@ def decode_signals(files: DataFrame, headers: DataFrame, chunk_frames: int = CHU
         F.substring("content", F.col("_k") * F.col("_size") + 1, F.col("_size")).alias("content"))
     spread = cut.repartition("record", "first")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_dict("records"):
+            contents = batch.column("content")
+            rows = batch.drop_columns(["content"]).to_pylist()
+            for row, content in zip(rows, contents):  # a chunk at a time, whatever a batch holds
                 n = int(row["n_signals"])
-                flat = _unpack(row["content"], row["fmt"])
+                flat = _unpack(memoryview(content.as_buffer()), row["fmt"])
                 frames = flat[:len(flat) // n * n].reshape(-1, n)
-                idx = row["first"] + np.arange(len(frames))
-                for c in range(n):
-                    yield pd.DataFrame({"record": row["record"], "channel": c, "idx": idx, "digital": frames[:, c],
-                                        "value": (frames[:, c] - row["baselines"][c]) / row["gains"][c]})
+                values = (frames - np.array(row["baselines"][:n])) / np.array(row["gains"][:n])
+                yield pa.RecordBatch.from_arrays([
+                    pa.repeat(row["record"], frames.size), pa.array(np.tile(np.arange(n, dtype=np.int32), len(frames))),
+                    pa.array(np.repeat(row["first"] + np.arange(len(frames)), n)), pa.array(frames.ravel()), pa.array(values.ravel())],
+                    ["record", "channel", "idx", "digital", "value"])
 
-    return spread.mapInPandas(run, "record string, channel int, idx bigint, digital bigint, value double")
+    return spread.mapInArrow(run, "record string, channel int, idx bigint, digital bigint, value double")
 
 
 def read_signals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -99,32 +105,46 @@ def read_signals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return decode_signals(files, headers), headers
 
 
+def points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<i4")
+
+
 def code_points(text: Column) -> Column:
     """Text -> array of its characters' code points."""
     @F.pandas_udf("array<int>")
-    def points(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else np.frombuffer(t.encode("utf-32-le"), dtype="<i4") for t in texts], dtype=object)
+    def points(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield from in_pieces(None if t is None else points_of(t) for t in texts)
     return points(text)
 
 
+def bytes16(digital: np.ndarray) -> bytes:
+    """16-bit integers -> little-endian bytes."""
+    return (digital & 0xFFFF).astype("<u2").tobytes()
+
+
+def bytes212(digital: np.ndarray) -> bytes:
+    """An even number of 12-bit integers -> three bytes per pair."""
+    low, high = (digital & 0xFFF).reshape(-1, 2).T
+    return np.stack([low & 0xFF, (low >> 8) | (high >> 8 << 4), high & 0xFF], axis=1).astype(np.uint8).tobytes()
+
+
 def _packed(digital: Column, pack: Callable[[np.ndarray], bytes]) -> Column:
     @F.pandas_udf("binary")
-    def packed(arrays: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else pack(np.asarray(a, dtype=np.int64)) for a in arrays], dtype=object)
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for arrays in batches:
+            yield from in_pieces(None if a is None else pack(np.asarray(a, dtype=np.int64)) for a in arrays)
     return packed(digital)
 
 
 def pack16(digital: Column) -> Column:
     """Array of 16-bit integers -> little-endian bytes."""
-    return _packed(digital, lambda a: (a & 0xFFFF).astype("<u2").tobytes())
+    return _packed(digital, bytes16)
 
 
 def pack212(digital: Column) -> Column:
     """Array of an even number of 12-bit integers -> three bytes per pair."""
-    def triples(a: np.ndarray) -> bytes:
-        low, high = (a & 0xFFF).reshape(-1, 2).T
-        return np.stack([low & 0xFF, (low >> 8) | (high >> 8 << 4), high & 0xFF], axis=1).astype(np.uint8).tobytes()
-    return _packed(digital, triples)
+    return _packed(digital, bytes212)
 
 
 def sample_columns(names: Sequence[str]) -> Column:

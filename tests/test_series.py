@@ -280,3 +280,15 @@ def test_lags_meet_all_rotations_in_one_product(monkeypatch):
             top, _ = lagged._best(a, b, 6)
             plain = np.array([[abs(np.corrcoef(x[:n - k], b[k:])[0, 1]) if k <= n - 2 else 0.0 for k in range(1, 7)] for x in a])
             assert np.allclose(top, np.maximum.accumulate(plain, axis=1), atol=1e-12)
+
+
+def test_windows_leave_a_worker_in_pieces(spark):
+    """A batch of texts is small, its samples are not: a worker never holds the results of a whole batch (an iterator, 204)."""
+    from attest.functions.batches import in_pieces
+    from attest.plans import signals as ps
+
+    pieces = list(in_pieces([[1, 2], None, [3], b"four", 5.0], 3))
+    assert [list(p) for p in pieces] == [[[1, 2], None], [[3], b"four"], [5.0]] and list(in_pieces([])) == []
+    for made in (ps.bandpass(spark, "/root/testdata/sf0.001"), ps.detect_beats(spark, "/root/testdata/sf0.001")):
+        udfs = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ArrowEvalPython" in line]
+        assert udfs and all(line.rstrip().endswith(", 204") for line in udfs)
