@@ -205,3 +205,40 @@ def shuffled_by(df, column):
     """Inputs of the plan's shuffles that are dealt by ``column`` alone."""
     text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     return re.findall(rf"\(\d+\) Exchange\nInput \[\d+\]: (\[.*?\])\nArguments: hashpartitioning\({column}#\d+L?, \d+\)", text)
+
+
+def test_versions_of_a_ledger_come_from_one_pass(spark):
+    """Entries are merged once for all versions, and a version meets the next where they lie."""
+    from attest.plans.catalogue import QUERIES
+
+    # Once for the rows and once for the versions' numbers, which share the shuffle when it runs.
+    assert moved(QUERIES["ledger_history"](spark, "/root/testdata/sf0.001"), "start_b") <= 2
+
+
+def test_versions_meet_as_in_a_join(spark):
+    """Entries that are there twice, numbers with gaps, hashes that are none, and ranges that come back."""
+    from functools import reduce
+
+    rows = [(1, "u/a", 0, 9, "x", 1, "E"), (1, "u/a", 0, 9, "y", 1, "E"), (1, "u/b", 0, 9, "0" * 64, 1, "E"), (4, "u/a", 0, 9, "x", 1, "E"),
+            (4, "u/b", 0, 9, "0" * 64, 1, None), (6, "u/b", 0, 9, "0" * 64, 2, "F"), (6, "u/a", 0, 9, "x", 1, "E"), (6, "u/a", 0, 9, "z", 3, "E"),
+            (9, "u/c", 0, 9, "x", 1, "E")]
+    versions = spark.createDataFrame(rows, "seq int, url string, start_b long, end_b long, sha256 string, first_read_at long, first_read_by string")
+    steps = [cov.extends(versions.where(f"seq = {a}").drop("seq"), versions.where(f"seq = {b}").drop("seq")).withColumn("seq", F.lit(b))
+             for a, b in ((1, 4), (4, 6), (6, 9))]
+    want = reduce(lambda a, b: a.unionByName(b), steps).select("seq", "url", "problem")
+    got = cov.history_extends(versions).select("seq", "url", "problem")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
+
+
+def test_consumed_as_logged_needs_no_sweep(spark):
+    names = "first_read_by string, url string, start_b long, end_b long"
+    ledger = spark.createDataFrame([("E", "a", 0, 9), ("E", "a", 5, 20), ("E", "b", 0, 1), ("exploration", "b", 0, 1), ("F", "b", 0, 1)], names)
+    known = spark.createDataFrame([("E",)], "exp_id string")
+    exact = cov.ledger_accounted(ledger, ledger.withColumnRenamed("first_read_by", "exp_id"), known)
+    assert "Window" not in exact._jdf.queryExecution().optimizedPlan().toString()
+    state = lambda df: sorted((r.first_read_by, r.url, r.start_b, r.state) for r in df.collect())
+    other = [("exploration", "b", 0, "foreign")]
+    assert state(exact) == sorted([("E", "a", 0, "accounted"), ("E", "a", 5, "accounted"), ("E", "b", 0, "accounted"), ("F", "b", 0, "unaccounted"), *other])
+    some = spark.createDataFrame([("E", "a", 0, 15), ("E", "b", 0, 1), ("F", "b", 0, 1)], names.replace("first_read_by", "exp_id"))
+    assert state(cov.ledger_accounted(ledger, some, known)) == sorted(
+        [("E", "a", 0, "accounted"), ("E", "a", 5, "unaccounted"), ("E", "b", 0, "accounted"), ("F", "b", 0, "unaccounted"), *other])
