@@ -242,3 +242,13 @@ def test_consumed_as_logged_needs_no_sweep(spark):
     some = spark.createDataFrame([("E", "a", 0, 15), ("E", "b", 0, 1), ("F", "b", 0, 1)], names.replace("first_read_by", "exp_id"))
     assert state(cov.ledger_accounted(ledger, some, known)) == sorted(
         [("E", "a", 0, "accounted"), ("E", "a", 5, "unaccounted"), ("E", "b", 0, "accounted"), ("F", "b", 0, "unaccounted"), *other])
+
+
+def test_nodes_of_the_digest_do_not_move_to_their_parents(spark):
+    hashes = spark.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    got = ln.set_digest(hashes.union(hashes))
+    assert got.first() == ln.tree_digest(hashes).first() and moved(got, "_h") == 1
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.first() == ln.set_digest(hashes.repartition(3)).first() and "RepartitionByExpression [_q" in text
+    physical = got._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange ") == 2  # the hashes, and the 4,096 nodes below the root
