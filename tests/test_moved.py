@@ -252,3 +252,10 @@ def test_nodes_of_the_digest_do_not_move_to_their_parents(spark):
     assert got.first() == ln.set_digest(hashes.repartition(3)).first() and "RepartitionByExpression [_q" in text
     physical = got._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange ") == 2  # the hashes, and the 4,096 nodes below the root
+
+
+def test_artifacts_move_without_their_labels(spark):
+    from attest.plans.catalogue import QUERIES
+
+    checks = QUERIES["run_artifact_checks"](spark, "/root/testdata/sf0.001")
+    assert moved(checks, "_label") == 0 and moved(checks, "sha256") == 0
